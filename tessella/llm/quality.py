@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -36,22 +35,33 @@ class Model:
         return sum(map(self.weights.__getitem__, hits)) / math.sqrt(len(hits)) + self.bias if hits else self.bias
 
 
-def fit(found: list[set], y: np.ndarray, min_df: int = 4, c: float = 1.0, beta: float = 0.25, passes: int = 12, seed: int = 5) -> Model | None:
-    """A model that is positive for y = 1; None where only one class is present.
+def vocabulary(texts: list[str], min_df: int = 4) -> tuple[list, list[np.ndarray]]:
+    """The features that at least ``min_df`` texts have, and their numbers for each text.
+
+    Most features are rare, so they are counted by hash first, and only those of full enough buckets get a number.
+    """
+    mask = (1 << 22) - 1
+    buckets = np.zeros(mask + 1, np.int32)
+    for t in texts:
+        f = features(t)
+        buckets[np.unique(np.fromiter(map(hash, f), np.int64, len(f)) & mask)] += 1
+    often = (buckets >= min_df).tobytes()
+    at: dict = {}
+    rows = [np.array([at.setdefault(f, len(at)) for f in features(t) if often[hash(f) & mask]], np.int64) for t in texts]
+    df = np.bincount(np.concatenate([*rows, np.empty(0, np.int64)]), minlength=len(at))
+    number = np.where(df >= min_df, np.cumsum(df >= min_df) - 1, -1)
+    rows = [n[n >= 0] for n in (number[r] for r in rows)]
+    return [f for f, i in at.items() if number[i] >= 0], rows
+
+
+def fit(names: list, rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, beta: float = 0.25, passes: int = 12, seed: int = 5) -> Model | None:
+    """A model that is positive for y = 1; None where only one class is present. ``rows``: numbers of the features of each text.
 
     The dual of the hinge-loss problem is solved by coordinate descent; classes weigh alike.
     """
     y = np.asarray(y)
-    if len(np.unique(y)) < 2:
-        return None
-    df: Counter = Counter()
-    for f in found:
-        df.update(f)
-    names = [f for f, n in df.items() if n >= min_df]
-    at = {f: i for i, f in enumerate(names)}
-    if not names:
+    if len(np.unique(y)) < 2 or not names:
         return None
-    rows = [np.fromiter((at[f] for f in fs if f in at), np.int64) for fs in found]
     p, q = np.ones(len(names)), np.ones(len(names))
     for r, label in zip(rows, y):
         (p if label == 1 else q)[r] += 1
@@ -93,11 +103,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
     # the sample is bounded, so it may be broadcast; repeated ids give one text
     got = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic")).toPandas().sort_values("doc_id")
-    found = [features(t) for t in got["text"]]
+    names, rows = vocabulary(got["text"].tolist())
     models = []
     for column in ("quality", "toxic"):
         use = got[column].notna().to_numpy()
-        models.append(fit([f for f, u in zip(found, use) if u], got.loc[use, column].astype(int).to_numpy()) if use.any() else None)
+        models.append(fit(names, [r for r, u in zip(rows, use) if u], got.loc[use, column].astype(int).to_numpy()))
     return tuple(models)
 
 
