@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality
+from . import ann, chat, exact_dedup, language_id, licenses, mixing, near_dedup, packing, quality, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +17,22 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_pairs(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_pairs(table(spark, sf_dir, "documents"))
 
 
+def op4_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_chars")
 
@@ -28,14 +41,31 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules are drawn from the pages: hosts and whole URLs whose md5 begins with certain digits."""
+    pages = table(spark, sf_dir, "pages")
+    url = url_filter.canonical(F.col("url"))
+    host = F.regexp_extract(url, r"^[^/?]*", 0)
+    picked = F.array(F.when(F.md5(host) < "1", host), F.when(F.md5(url) < "1", url))
+    rules = pages.where("url is not null and url <> ''").select(F.explode(picked).alias("rule")).where("rule is not null")
+    return url_filter.match(pages, rules)
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    ops = [op1_simhash_near_dedup, op3_exact_dedup, op6_source_mix, op7_best_fit_packing, op9_quality_classifier]
+    ops = [
+        op1_simhash_near_dedup, op2_license_scan, op3_exact_dedup, op4_one_bit_neighbours, op5_language_id,
+        op6_source_mix, op7_best_fit_packing, op8_chat_format, op9_quality_classifier, op10_url_filter,
+    ]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
@@ -59,10 +89,39 @@ SELECT c.doc_id, c.source, c.n_chars FROM c JOIN b ON c.source IS NOT DISTINCT F
 """
 
 
+OP8_SQL = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n, role,
+         '<|im_start|>' || coalesce(role, '') || chr(10) AS head, coalesce(text, '') || '<|im_end|>' AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (
+  SELECT *, coalesce(sum(length(head) + length(said) + 1) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS pos FROM t)
+SELECT conv_id, count(*) AS n_turns, string_agg(head || said || chr(10), '' ORDER BY n) AS rendered,
+       coalesce(string_agg(pos || ':' || (pos + length(said)), ',' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS spans
+FROM p GROUP BY conv_id
+"""
+
+OP10_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#[\s\S]*$', '') AS rest FROM pages),
+u AS (
+  SELECT page_id, url, regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?]*', 0), '^[\s\S]*@', ''), ':[0-9]*$', '')) || regexp_replace(rest, '^[^/?]*', ''), '/$', '') AS whole FROM c),
+k AS (SELECT *, regexp_extract(whole, '^[^/?]*', 0) AS host, regexp_replace(whole, '/?\?[\s\S]*$', '') AS bare FROM u),
+rules AS (
+  SELECT DISTINCT host AS rule FROM k WHERE url <> '' AND md5(host) < '1'
+  UNION SELECT DISTINCT whole FROM k WHERE url <> '' AND md5(whole) < '1'),
+keys AS (
+  SELECT row_number() OVER () AS row_id, page_id, url, list_concat([whole, bare], list_transform(range(0, greatest(len(string_split(host, '.')) - 1, 1)), lambda i: array_to_string(string_split(host, '.')[i + 1:], '.'))) AS names FROM k),
+e AS (SELECT row_id, unnest(names) AS name, generate_subscripts(names, 1) AS pos FROM keys WHERE url <> ''),
+hit AS (SELECT row_id, min_by(name, pos) AS rule FROM e WHERE name IN (SELECT rule FROM rules) GROUP BY row_id)
+SELECT page_id, url, hit.rule IS NOT NULL AS blocked, hit.rule FROM keys LEFT JOIN hit USING (row_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op3_exact_dedup": OP3_SQL, "op6_source_mix": OP6_SQL}
+    out = {"op3_exact_dedup": OP3_SQL, "op6_source_mix": OP6_SQL, "op8_chat_format": OP8_SQL, "op10_url_filter": OP10_SQL}
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
