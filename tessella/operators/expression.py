@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from ..model import ratio
 
-_CELL = Window.partitionBy("cell_id")
-
 
 def quality_control(cells: DataFrame, expr: DataFrame, min_genes: int = 1) -> DataFrame:
     """(cell_id, umi, genes) of cells with at least ``min_genes`` genes above 0; a cell without rows has none."""
@@ -28,7 +26,7 @@ def expressed(expr: DataFrame) -> DataFrame:
 
 def per_total(scale: float) -> Column:
     """The value's share of its cell's sum, times ``scale``; a sum of 0 counts as 1."""
-    total = F.sum("value").over(_CELL)
+    total = F.sum("value").over(Window.partitionBy("cell_id"))
     return F.col("value") / F.when(total == 0, 1.0).otherwise(total) * scale
 
 
