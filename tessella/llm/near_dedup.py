@@ -80,7 +80,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def hamming(a0: np.ndarray, a1: np.ndarray, b0, b1) -> np.ndarray:
-    return np.bitwise_count(a0 ^ b0).astype(np.int16) + np.bitwise_count(a1 ^ b1)
+    return _ones(a0 ^ b0).astype(np.int16) + _ones(a1 ^ b1)
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    """Set bits; of signed numbers bitwise_count would take those of the absolute value."""
+    return np.bitwise_count(x.view(np.uint64))
 
 
 class Tree:
@@ -153,7 +158,7 @@ def _search(radius: int, ratio: float):
                 for s in range(first, last, 2048):
                     c = others[s : min(s + 2048, last)]
                     c = c[(far[c] >= v_lo) & (far[c] <= v_hi)]  # the triangle bound by the shard's vantage point
-                    i, j = np.nonzero(np.bitwise_count(f0[block][:, None] ^ f0[c][None, :]) <= radius)
+                    i, j = np.nonzero(_ones(f0[block][:, None] ^ f0[c][None, :]) <= radius)
                     i, j = block[i], c[j]
                     if mine and s < lo + 128:  # pairs within the block come once
                         once = (n[i] < n[j]) | ((n[i] == n[j]) & (ids[i] < ids[j]))
