@@ -27,7 +27,6 @@ def reduce_and_fit(sizes: Counter, capacity: int) -> list[tuple[tuple[int, ...],
     left = Counter({s: n for s, n in sizes.items() if n})
     order = sorted(left)
     bins: list[tuple[tuple[int, ...], int, bool]] = []
-    open_items: Counter = Counter()
 
     def take(size: int, n: int) -> None:
         left[size] -= n
@@ -53,43 +52,55 @@ def reduce_and_fit(sizes: Counter, capacity: int) -> list[tuple[tuple[int, ...],
             return 2 * order[i]
         return order[i] + order[i + 1] if i + 1 < len(order) else None
 
-    for s in sorted(sizes, reverse=True):
-        while left.get(s):
-            room = capacity - s
+    def dominating(s: int) -> tuple[int, ...] | None:
+        """The pieces beside one of this size, itself taken out, if they can stand in for any other set beside it."""
+        room = capacity - s
+        one = largest(room)
+        if one is None:  # nothing fits
+            return ()
+        two = second_above(0)
+        if one == room or two is None or two > room:  # a perfect pair, or only one piece fits: then the largest
+            return (one,)
+        three = _third(left, order)
+        if three is not None and three <= room:
+            return None
+        # at most two pieces fit
+        if one >= _best_pair(left, order, room):
+            return (one,)
+        take(one, 1)
+        other = largest(room - one)
+        give(one)
+        if other is None:
+            return None
+        pair = second_above(other)
+        # of any two that fit, the larger is at most one; if there are no two above other, the smaller is at most that
+        return (one, other) if pair is None or pair > room else None
+
+    def close(s: int) -> bool:
+        """Closes bins with pieces of this size as long as a set dominates."""
+        done = False
+        while left[s]:
             take(s, 1)
-            one = largest(room)
-            if one is None:  # nothing fits beside it
-                n = left.get(s, 0)
-                if n:
-                    take(s, n)
-                bins.append(((s,), 1 + n, True))
-                continue
-            two = second_above(0)
-            if one == room or two is None or two > room:
-                # a perfect pair, or only one piece fits: the largest that fits can stand in for any other set
-                take(one, 1)
-                bins.append(((s, one), 1, True))
-                continue
-            three = _third(left, order)
-            if three is None or three > room:  # at most two pieces fit beside it
-                if one >= _best_pair(left, order, room):
-                    take(one, 1)
-                    bins.append(((s, one), 1, True))
-                    continue
-                take(one, 1)
-                other = largest(room - one)
-                if other is not None:
-                    take(other, 1)
-                    give(one), give(other)
-                    pair = second_above(other)
-                    if pair is None or pair > room:  # of any pair that fits, the larger is at most one, the smaller at most other
-                        take(one, 1), take(other, 1)
-                        bins.append(((s, one, other), 1, True))
-                        continue
-                else:
-                    give(one)
-            open_items[s] += 1
-    bins.extend((b, n, False) for b, n in _best_fit(open_items, capacity).items())
+            beside = dominating(s)
+            if beside is None:
+                give(s)
+                break
+            for x in beside:
+                take(x, 1)
+            n = 1
+            if not beside and left[s]:
+                n += left[s]
+                take(s, left[s])
+            bins.append(((s, *beside), n, True))
+            done = True
+        return done
+
+    changed = True
+    while changed:
+        changed = False
+        for s in sorted(left, reverse=True):
+            changed |= close(s)
+    bins.extend((b, n, False) for b, n in _best_fit(left, capacity).items())
     return bins
 
 
