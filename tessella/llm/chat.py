@@ -26,7 +26,7 @@ CHATML = (
 )
 
 _TAG = re.compile(r"(\{\{-?.*?-?\}\}|\{%-?.*?-?%\}|\{#.*?#\})", re.S)
-_LEX = re.compile(r"\s*(?:(\d+\.\d+|\d+)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_]\w*)|(==|!=|<=|>=|//|[-+*/%~<>()\[\].,|:{}]))", re.S)
+_LEX = re.compile(r"\s*(?:(\d+\.\d+|\d+)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_]\w*)|(==|!=|<=|>=|//|[-+*/%~<>()\[\].,|=]))", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 _CONST = {"true": True, "True": True, "false": False, "False": False, "none": None, "None": None}
 _LOOP_LIMIT = 1_000_000
@@ -136,14 +136,14 @@ class _Parser:
         return ("not", self.negated()) if self.accept("not") else self.compared()
 
     def compared(self) -> tuple:
-        node = self.summed()
+        node = self.joined()
         while True:
             if op := self.accept("==", "!=", "<", ">", "<=", ">=", "in"):
-                node = (op, node, self.summed())
+                node = (op, node, self.joined())
             elif self.peek("not"):
                 self.at += 1
                 self.expect("in")
-                node = ("not in", node, self.summed())
+                node = ("not in", node, self.joined())
             elif self.accept("is"):
                 negative = self.accept("not")
                 test = self.name()
@@ -154,9 +154,15 @@ class _Parser:
             else:
                 return node
 
+    def joined(self) -> tuple:
+        node = self.summed()
+        while self.accept("~"):
+            node = ("~", node, self.summed())
+        return node
+
     def summed(self) -> tuple:
         node = self.multiplied()
-        while op := self.accept("+", "-", "~"):
+        while op := self.accept("+", "-"):
             node = (op, node, self.multiplied())
         return node
 
@@ -250,9 +256,8 @@ def parse(template: str) -> list[tuple]:
             stack.append(("if", tests, []))
         elif word == "set":
             name = p.name()
-            if p.at < len(p.tokens):
-                raise TemplateError("set takes '='")
-            body.append(("set", name, ("const", None)))
+            p.expect("=")
+            body.append(("set", name, p.expression()))
         elif word == "generation":
             stack.append(("gen", None, []))
         elif word.startswith("end") and len(stack) > 1 and stack[-1][0] == {"endfor": "for", "endif": "if", "endgeneration": "gen"}.get(word):
