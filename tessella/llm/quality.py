@@ -89,7 +89,19 @@ def fit(names: list, rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, beta
             break
     w = (1 - beta) * np.abs(w).mean() + beta * w
     scaled = w * ratio
-    return Model({f: float(x) for f, x in zip(names, scaled)}, beta * b)
+    margins = np.array([scaled[r].sum() / math.sqrt(max(1, len(r))) for r in rows])
+    return Model({f: float(x) for f, x in zip(names, scaled)}, -_between(margins, y == 1))
+
+
+def _between(margins: np.ndarray, positive: np.ndarray) -> float:
+    """The middle of the widest gap of those that part the classes with the fewest errors, classes weighing alike."""
+    order = np.argsort(margins, kind="stable")
+    m, p = margins[order], positive[order]
+    wrong = np.cumsum(p) / max(1, p.sum()) + (np.cumsum(~p[::-1])[::-1] - ~p) / max(1, (~p).sum())
+    wrong, gap = wrong[:-1], np.diff(m)
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+    at = best[np.argmax(gap[best])]
+    return float((m[at] + m[at + 1]) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model | None, Model | None]:
