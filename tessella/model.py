@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,3 +70,23 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; a larger one is left to a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def coordinates(df: DataFrame) -> DataFrame:
+    """``df`` with x and y (and z) from the first pair of columns that it has."""
+    for x, y, z in (("x", "y", "z"), ("x_um", "y_um", "z_um"), ("coordinate_x_um", "coordinate_y_um", ""), ("x_centroid", "y_centroid", "z_centroid"), ("array_col", "array_row", "")):
+        if x in df.columns and y in df.columns:
+            new = {"x": F.col(x).cast("double"), "y": F.col(y).cast("double")}
+            return df.withColumns(new | ({"z": F.col(z).cast("double")} if z in df.columns else {}))
+    raise KeyError(f"no coordinates among {', '.join(df.columns)}")
+
+
+def chunked(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int | None = None) -> DataFrame:
+    """``f`` on every batch of rows, of at most ``rows`` each, where they lie."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), rows or max(1, len(b))):
+                yield f(b.iloc[lo : lo + (rows or len(b))])
+
+    return df.mapInPandas(run, schema)
