@@ -58,5 +58,15 @@ def sized(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
+def draw(df: DataFrame, total: int, n: int, *key: str) -> DataFrame:
+    """At most ``n`` of the ``total`` rows, those of the least hash of their key.
+
+    A threshold on the hash leaves about ``n`` rows before they are ordered, so that partitions don't each send ``n``.
+    """
+    share = min(1.0, 1.1 * (n + 100) / max(total, 1))
+    h = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
+    return df.where(h < int(share * (1 << 40)) + 1).orderBy(h, *key).limit(n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

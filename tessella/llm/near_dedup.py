@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, sized, stage
+from .common import draw, fresh, sized, stage
 
 RADIUS = 20
 RATIO = 0.8
@@ -179,7 +179,7 @@ def pairs_of(prints: DataFrame, radius: int = RADIUS, ratio: float = RATIO) -> D
     spark = prints.sparkSession
     unique = stage(prints.groupBy("n", "f0", "f1").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("ids")), "unique")
     total = unique.count()
-    drawn = unique.orderBy(F.xxhash64("f0", "f1", "n")).limit(SAMPLE).select("n", "f0", "f1").toPandas()
+    drawn = draw(unique.select("n", "f0", "f1"), total, SAMPLE, "f0", "f1", "n").toPandas()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
     tree = Tree(drawn["n"].to_numpy(), drawn["f0"].to_numpy(), drawn["f1"].to_numpy(), shards, radius, ratio)
 
