@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import draw, stage
 
 K = 10
 CELL = 4096
@@ -127,9 +127,9 @@ def _search(c: np.ndarray, turn: np.ndarray, dims: int, k: int):
     return run
 
 
-def _visited(index: DataFrame, c: np.ndarray, dims: int, k: int) -> int:
+def _visited(index: DataFrame, total: int, c: np.ndarray, dims: int, k: int) -> int:
     """How many of the nearest cells hold ``COVER`` of the true neighbours of sampled queries, found by brute force."""
-    drawn = index.orderBy(F.xxhash64("vec_id", F.lit("probe")), "vec_id").limit(PROBES).select("vec_id", "x").toPandas()
+    drawn = draw(index.select("vec_id", "x"), total, PROBES, "vec_id").toPandas()
     q, q_id = np.stack(drawn["x"]).astype(np.float32), drawn["vec_id"].to_numpy()
     rank = np.argsort(np.argsort(-(q @ c.T), axis=1), axis=1)
 
@@ -175,13 +175,13 @@ def neighbours(embeddings: DataFrame, k: int = K, id_col: str = "vec_id", vector
     if sizes[0]["ids"] != total:
         rows = rows.groupBy("vec_id").agg(F.min("x").alias("x"))
     cells = min(MOST_CELLS, -(-total // CELL))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(2000, cells * SAMPLE)).toPandas()["x"]
+    sample = draw(rows, total, max(2000, cells * SAMPLE), "vec_id").toPandas()["x"]
     sample = np.stack(sample).astype(np.float32)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     cells = min(cells, len(sample))
     c, turn = centres(sample, cells), rotation(dims)
     index = stage(rows.mapInArrow(_encode(c, turn, dims), "vec_id long, cell int, code binary, length float, align float, x array<float>"), "index")
-    visits = _visited(index, c, dims, k)
+    visits = _visited(index, total, c, dims, k)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import draw
+
 #: Labelled documents that the models are fitted on, drawn by a hash of the id.
 SAMPLE = 6_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -111,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     label or text are not used.
     """
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    drawn = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    drawn = draw(marks, labels.count(), sample, "doc_id")
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
     # the sample is bounded, so it may be broadcast; repeated ids give one text
     got = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic")).toPandas().sort_values("doc_id")
