@@ -14,6 +14,9 @@ from .common import fresh, sized, stage, word_count
 
 HASH_BITS = 60
 BUCKET_BITS = 12
+#: Share of all tokens up to which the scarcest sources together don't set the scale, and the least share that is kept.
+NEGLIGIBLE = 0.01
+RETAIN = 0.75
 
 
 def id_hash(doc_id: Column, seed: str = "mix") -> Column:
@@ -22,11 +25,17 @@ def id_hash(doc_id: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
-def budgets(totals: DataFrame, power: float, weights: dict[str, float] | None) -> DataFrame:
+def budgets(totals: DataFrame, power: float, weights: dict[str, float] | None, retain: float | None = None) -> DataFrame:
     """(source, budget) such that the budgets stand in the target weights and the scarcest source is used up.
 
     The weight of a source is given, or its number of tokens to ``power``. Sources without a weight or tokens get 0.
+    At least a share ``retain`` of the weighed tokens is kept: where the scarcest source leaves less, the budgets of the
+    others grow in the target weights, and those that run out stay whole below their target. Without given weights,
+    ``retain`` is ``RETAIN`` and the scarcest sources of at most ``NEGLIGIBLE`` of all tokens together stay whole and
+    scale no other; given weights are followed to the letter unless ``retain`` is given as well.
     """
+    negligible, least = (NEGLIGIBLE, RETAIN) if weights is None else (0.0, 0.0)
+    least = least if retain is None else retain
     if weights is None:
         weight = F.pow(F.col("tokens").cast("double"), F.lit(power))
     else:
@@ -34,7 +43,15 @@ def budgets(totals: DataFrame, power: float, weights: dict[str, float] | None) -
         for name, w in weights.items():
             weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
     weighed = totals.withColumn("w", F.when(F.col("tokens") > 0, weight))
-    scale = weighed.where("w > 0").agg(F.min(F.col("tokens") / F.col("w")).alias("scale"))
+    # by scarcity; one task, as sources are few
+    order = Window.orderBy("ratio")
+    upto, onward = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    ranked = weighed.where("w > 0").withColumn("ratio", F.col("tokens") / F.col("w"))
+    ranked = ranked.select("ratio", "tokens", F.sum("tokens").over(upto).alias("upto"), F.sum("w").over(onward).alias("rest"), F.sum("tokens").over(Window.partitionBy()).alias("total"))
+    scarcest = F.min(F.when(F.col("upto") > F.col("total") * F.lit(negligible), F.col("ratio")))
+    # with the scarcer ones whole, the scale at which the rest fill up the total; the largest of them is the one that does
+    filled = F.max((F.col("total") * F.lit(float(least)) - (F.col("upto") - F.col("tokens"))) / F.col("rest"))
+    scale = ranked.agg(F.greatest(scarcest, filled).alias("scale"))
     budget = F.coalesce(F.floor(F.col("w") * F.col("scale") + F.lit(1e-6)), F.lit(0)).cast("long")
     return weighed.crossJoin(F.broadcast(scale)).select("source", F.least(budget, F.col("tokens")).alias("budget"))
 
@@ -68,8 +85,8 @@ def thresholds(meta: DataFrame, budget: DataFrame) -> DataFrame:
     return left.select("source", F.coalesce("below", "prefix").alias("below"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
-    """The rows of ``docs`` that bring the tokens of the sources to their target weights, as many as can be.
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", retain: float | None = None) -> DataFrame:
+    """The rows of ``docs`` that bring the tokens of the sources to their target weights; see ``budgets`` for how many.
 
     Tokens are words between white space. Of each source, rows stay in order of their hash as long as the sum of
     tokens, ties of the hash included, is within the source's budget: rows with one id stay or go together. A null
@@ -79,7 +96,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     hash_c, below_c, source_c = fresh(docs, "h", "below", "source")
     meta = stage(docs.select(F.col(source).alias("source"), id_hash(F.col(id_col), seed).alias("h"), word_count(F.col(text)).alias("tokens")), "meta")
     totals = stage(meta.groupBy("source").agg(F.sum("tokens").alias("tokens")), "totals")
-    cuts = thresholds(meta, budgets(totals, power, weights))
+    cuts = thresholds(meta, budgets(totals, power, weights, retain))
     keyed = docs.withColumn(hash_c, id_hash(F.col(id_col), seed))
     cuts = sized(cuts.select(F.col("source").alias(source_c), F.col("below").alias(below_c)))
     hit = keyed.join(cuts, F.col(source).eqNullSafe(F.col(source_c)) & (F.col(hash_c) < F.col(below_c)), "left_semi")

@@ -52,6 +52,29 @@ def test_mix_is_nested_and_keeps_columns(spark):
     assert mixing.mix(make(spark, [])).count() == 0
 
 
+def kept(spark, rows, **kw):
+    return {(r.doc_id, r.source) for r in mixing.mix(make(spark, rows), **kw).collect()}
+
+
+@pytest.mark.parametrize("stray", [None, "new"])
+def test_negligible_source_stays_and_scales_no_other(spark, stray):
+    rows = [(i, "w " * (20 + i % 7), "aaaabb"[i % 6]) for i in range(600)]
+    want = kept(spark, rows)
+    assert 0.8 * len(rows) < len(want) < len(rows)
+    assert kept(spark, [*rows, (9000, "w", stray)]) == want | {(9000, stray)}
+
+
+def test_scarce_sources_leave_the_retained_total(spark):
+    rows = [(i, "w w w w w", "b" if i % 25 == 0 else None if i % 25 == 1 else "a" if i % 2 else "c") for i in range(2000)]
+    got = kept(spark, rows)
+    assert 0.74 * len(rows) < len(got) <= 0.75 * len(rows)
+    assert sum(s in ("b", None) for _, s in got) == sum(s in ("b", None) for _, _, s in rows)
+    assert kept(spark, rows, retain=1.0) == {(i, s) for i, _, s in rows}
+    # 920 : 80 to the given weights of 2 : 1, then as much of it as makes half
+    assert Counter(s for _, s in kept(spark, rows, weights={"a": 2, "b": 1})) == {"a": 160, "b": 80}
+    assert Counter(s for _, s in kept(spark, rows, weights={"a": 2, "b": 1}, retain=0.5)) == {"a": 420, "b": 80}
+
+
 def volume(bins):
     return Counter({s: 0 for s in ()}) + sum((Counter({s: n * b.count(s) for s in b}) for b, n, _ in bins), Counter())
 
