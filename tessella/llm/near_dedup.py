@@ -26,6 +26,8 @@ RATIO = 0.8
 #: Fingerprints drawn to place the splits; they decide on the shards' sizes, not on results.
 SAMPLE = 20_000
 SHARD = 100_000
+#: Members of a group of equal fingerprints that are listed in one row, about.
+LIST = 256
 _WORD = re.compile(r"\w+")
 _MEMO = 400_000
 
@@ -174,8 +176,8 @@ def _search(radius: int, ratio: float):
     return search
 
 
-def pairs_of(prints: DataFrame, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
-    """Near pairs of staged fingerprints; see ``near_pairs``."""
+def _met(prints: DataFrame, radius: int, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints (n, f0, f1, doc_id: the least, ids: how many), and the near pairs of those least ids."""
     spark = prints.sparkSession
     unique = stage(prints.groupBy("n", "f0", "f1").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("ids")), "unique")
     total = unique.count()
@@ -190,13 +192,38 @@ def pairs_of(prints: DataFrame, radius: int = RADIUS, ratio: float = RATIO) -> D
 
     routed = unique.select("doc_id", "n", "f0", "f1").mapInArrow(route, "doc_id long, n int, f0 long, f1 long, shard int, home boolean")
     found = routed.groupBy("shard").applyInArrow(_search(radius, ratio), "doc_a long, doc_b long, distance int")
+    return unique, found.where("doc_a <> doc_b")
+
+
+def pairs_of(prints: DataFrame, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
+    """Near pairs of staged fingerprints; see ``near_pairs``."""
+    unique, found = _met(prints, radius, ratio)
     same = unique.where("ids > 1").select("n", "f0", "f1", F.col("doc_id").alias("doc_a"))
     members = prints.join(same, ["n", "f0", "f1"]).where("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(0).alias("distance")).distinct()
-    return found.where("doc_a <> doc_b").unionAll(members)
+    return found.unionAll(members)
+
+
+def all_pairs_of(prints: DataFrame, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
+    """All near pairs of staged fingerprints; see ``all_pairs``."""
+    unique, found = _met(prints, radius, ratio)
+    same = unique.where("ids > 1").select("n", "f0", "f1", F.col("doc_id").alias("rep"), F.ceil(F.col("ids") / LIST).alias("lists"))
+    lists = prints.join(same, ["n", "f0", "f1"]).groupBy("rep", F.pmod(F.xxhash64("doc_id"), "lists").alias("part")).agg(F.collect_set("doc_id").alias("ids"))
+    lists = stage(lists, "lists")
+    x, y = (lists.select(F.col("rep").alias(f"doc_{c}"), F.col("part").alias(f"part_{c}"), F.col("ids").alias(f"ids_{c}")) for c in "ab")
+    near = found.join(x, "doc_a", "left").join(y, "doc_b", "left")
+    near = near.select("doc_a", "part_a", "doc_b", "part_b", "distance", F.coalesce("ids_a", F.array("doc_a")).alias("ids_a"), F.coalesce("ids_b", F.array("doc_b")).alias("ids_b"))
+    equal = x.join(y, F.col("doc_a") == F.col("doc_b")).where("part_a <= part_b")
+    equal = equal.select("doc_a", "part_a", "doc_b", "part_b", F.lit(0).alias("distance"), "ids_a", "ids_b")
+    # the lists of a large group are dealt to tasks before they are multiplied
+    dealt = near.unionAll(equal).repartition("doc_a", "part_a", "doc_b", "part_b")
+    twice = (F.col("doc_a") == F.col("doc_b")) & (F.col("part_a") == F.col("part_b"))
+    each = dealt.select("distance", "ids_b", twice.alias("twice"), F.explode("ids_a").alias("a")).select("distance", "twice", "a", F.explode("ids_b").alias("b"))
+    each = each.where((F.col("a") < F.col("b")) | (~F.col("twice") & (F.col("a") > F.col("b"))))
+    return each.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "distance")
 
 
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
-    """(doc_a, doc_b, distance): all pairs of near copies, doc_a < doc_b, exact for the fingerprints.
+    """(doc_a, doc_b, distance): pairs that connect all near copies, doc_a < doc_b, exact for the fingerprints.
 
     Documents with equal fingerprints and word counts are paired with the least id among them only, which stands for
     all of them in the other pairs; so a group of n copies takes n - 1 rows. Rows with a null id or text, and texts
@@ -205,6 +232,16 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radi
     return pairs_of(fingerprints(docs, id_col, text), radius, ratio)
 
 
+def all_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
+    """(doc_a, doc_b, distance): all pairs of near copies, doc_a < doc_b, exact for the fingerprints.
+
+    A group of n copies takes n(n - 1)/2 rows, and each of them has its own pairs with near copies. Rows with a null
+    id or text, and texts without a word, are in no pair. A repeated row is one document; an id of several texts has
+    the pairs of each. An empty table gives no pairs.
+    """
+    return all_pairs_of(fingerprints(docs, id_col, text), radius, ratio)
+
+
 def groups_of(pairs: DataFrame) -> DataFrame:
     """(doc_id, leader): every document of ``pairs`` with the least id that is connected to it.
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import exact_dedup, near_dedup
+from tessella.llm import exact_dedup, near_dedup, queries
 from tessella.llm.near_dedup import RADIUS, RATIO
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `__fp` string, h int"
@@ -117,6 +117,34 @@ def test_near_edge_cases(spark):
     assert near_dedup.drop_near_duplicates(make(spark, [])).count() == 0
 
 
+def brute_all(docs):
+    d = near_dedup._Digests()
+    prints = [(i, near_dedup.simhash(t, d)) for i, t in sorted({(i, t) for i, t in docs if i is not None and t is not None})]
+    prints = [(i, p) for i, p in prints if p[0]]
+    out = []
+    for x, (a, (n, p, q)) in enumerate(prints):
+        for b, (m, r, s) in prints[x + 1 :]:
+            far = ((p ^ r) & (2**64 - 1)).bit_count() + ((q ^ s) & (2**64 - 1)).bit_count()
+            if far <= RADIUS and min(n, m) >= RATIO * max(n, m):
+                out.append((a, b, far))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [3, 256])
+def test_all_pairs_of_copies_and_their_near_copies(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "LIST", most)
+    words = " ".join(f"word{i}" for i in range(200))
+    rows = [(i, words) for i in range(0, 40, 2)] + [(i, words + " more") for i in range(1, 20, 2)] + [(100, "solo here"), (4, words), (None, words), (50, None), (51, "!!")]
+    got = sorted(map(tuple, near_dedup.all_pairs(make(spark, rows)).collect()))
+    assert got == brute_all(rows) and len(got) == 30 * 29 // 2
+    assert near_dedup.all_pairs(make(spark, [])).count() == 0
+
+
+def test_query_gives_all_pairs(spark, sf):
+    got = sorted(map(tuple, queries.op1_simhash_near_dedup(spark, sf).collect()))
+    assert got == brute_all([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+
+
 def test_groups_follow_long_chains(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "doc_a long, doc_b long")
     got = {r.doc_id: r.leader for r in near_dedup.groups_of(pairs).collect()}
