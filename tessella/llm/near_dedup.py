@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import draw, fresh, sized, stage
 
-RADIUS = 20
+RADIUS = 24
 RATIO = 0.8
 #: Fingerprints drawn to place the splits; they decide on the shards' sizes, not on results.
 SAMPLE = 20_000

@@ -145,6 +145,18 @@ def test_query_gives_all_pairs(spark, sf):
     assert got == brute_all([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
 
 
+def test_radius_catches_most_copies_with_a_tenth_replaced():
+    rng, d, lost = np.random.default_rng(3), near_dedup._Digests(), 0
+    for i in range(400):
+        w = [f"w{i}x{j}" for j in range(20)]
+        a = near_dedup.simhash(" ".join(w), d)
+        for j in rng.choice(20, 2, replace=False):
+            w[j] = f"new{i}x{j}"
+        b = near_dedup.simhash(" ".join(w), d)
+        lost += ((a[1] ^ b[1]) & (2**64 - 1)).bit_count() + ((a[2] ^ b[2]) & (2**64 - 1)).bit_count() > RADIUS
+    assert lost <= 0.12 * 400
+
+
 def test_groups_follow_long_chains(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "doc_a long, doc_b long")
     got = {r.doc_id: r.leader for r in near_dedup.groups_of(pairs).collect()}
