@@ -112,9 +112,11 @@ def _search(c: np.ndarray, turn: np.ndarray, dims: int, k: int):
                 about += error
                 for r in range(len(q)):
                     # the k-th best of some exact products is a bar that any better vector's upper bound has to reach
-                    some = x[head[r]] @ q[r]
+                    some = np.where(about[r, head[r]] > -np.inf, x[head[r]] @ q[r], -np.inf)
                     bar = np.partition(some, n - k)[n - k] if n > k else -np.inf
-                    at = np.flatnonzero((about[r] >= bar) & (about[r] > -np.inf))
+                    reach = about[r] >= bar
+                    reach[head[r]] = True
+                    at = np.flatnonzero(reach & (about[r] > -np.inf))
                     near = x[at] @ q[r]
                     if len(at) > k:
                         at = at[near >= np.partition(near, len(at) - k)[len(at) - k] - 1e-5]
@@ -127,6 +129,24 @@ def _search(c: np.ndarray, turn: np.ndarray, dims: int, k: int):
     return run
 
 
+def _sent(x: np.ndarray, own: np.ndarray, c: np.ndarray, held: np.ndarray, visits: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): the ``visits`` nearest cells of every vector, and more until they hold ``k`` others. ``held``: vectors by cell."""
+    s = x @ c.T
+    near = np.argpartition(-s, visits - 1, axis=1)[:, :visits]
+    few = np.flatnonzero(held[near].sum(axis=1) - (near == own[:, None]).sum(axis=1) < k)
+    row, cell = np.repeat(np.arange(len(x)), visits), near.ravel()
+    if len(few) and visits < len(c):
+        order = np.argsort(-s[few], axis=1)
+        others = np.cumsum(held[order] - (order == own[few][:, None]), axis=1)
+        # the cell that fills up k is visited too
+        more = np.concatenate([np.ones((len(few), 1), bool), others[:, :-1] < k], axis=1)
+        more[:, :visits] = True
+        i, j = np.nonzero(more)
+        rest = ~np.isin(row, few)
+        row, cell = np.concatenate([row[rest], few[i]]), np.concatenate([cell[rest], order[i, j]])
+    return row, cell
+
+
 def _visited(index: DataFrame, total: int, c: np.ndarray, dims: int, k: int) -> int:
     """How many of the nearest cells hold ``COVER`` of the true neighbours of sampled queries, found by brute force."""
     drawn = draw(index.select("vec_id", "x"), total, PROBES, "vec_id").toPandas()
@@ -182,16 +202,19 @@ def neighbours(embeddings: DataFrame, k: int = K, id_col: str = "vec_id", vector
     c, turn = centres(sample, cells), rotation(dims)
     index = stage(rows.mapInArrow(_encode(c, turn, dims), "vec_id long, cell int, code binary, length float, align float, x array<float>"), "index")
     visits = _visited(index, total, c, dims, k)
+    held = np.zeros(cells, np.int64)
+    for r in index.groupBy("cell").count().collect():  # at most MOST_CELLS rows
+        held[r["cell"]] = r["count"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column(1), dims)
+            x = _matrix(b.column(2), dims)
             if len(x):
-                near = np.argpartition(-(x @ c.T), visits - 1, axis=1)[:, :visits]
-                row = pa.array(np.repeat(np.arange(len(x)), visits))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(near.ravel().astype(np.int32)), b.column(1).take(row)], names=["vec_id", "cell", "x"])
+                row, cell = _sent(x, b.column(1).to_numpy(), c, held, visits, k)
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(cell.astype(np.int32)), b.column(2).take(row)], names=["vec_id", "cell", "x"])
 
-    queries = index.select("vec_id", "x").mapInArrow(send, "vec_id long, cell int, x array<float>")
+    queries = index.select("vec_id", "cell", "x").mapInArrow(send, "vec_id long, cell int, x array<float>")
     # a cell that outgrows a task is split: its vectors by id, while its queries go to each part
     counts = index.groupBy("cell").count().withColumn("parts", F.ceil(F.col("count") / (4 * CELL)).cast("int")).select("cell", "parts")
     counts = F.broadcast(counts)  # at most MOST_CELLS rows

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from tessella.llm import ann
 
@@ -62,3 +63,29 @@ def test_edge_cases(spark):
     assert got == {0: [3, 1], 1: [0, 3], 2: [1, 0], 3: [0, 1]}
     assert ann.neighbours(df.where("false")).count() == 0
     assert ann.neighbours(df.where("vec_id = 2")).count() == 0
+
+
+def test_small_cells_give_k_rows():
+    turn = ann.rotation(64)
+    for seed in range(150):
+        rng = np.random.default_rng(seed)
+        x = rng.standard_normal((12 + seed % 29, 64)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        c = x[:1].copy()
+        bits, length, align = ann.encode(x, c[0], turn)
+        ids = pa.array(np.arange(len(x)))
+        vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+        stored = pa.table({"vec_id": ids, "code": pa.array([b.tobytes() for b in bits], pa.binary()), "length": length, "align": align, "x": vectors})
+        got = ann._search(c, turn, 64, 10)((pa.scalar(0),), pa.table({"vec_id": ids, "x": vectors}), stored)
+        assert (np.bincount(got["vec_id"].to_numpy(), minlength=len(x)) == 10).all()
+
+
+def test_queries_of_sparse_cells_visit_more():
+    c = np.eye(4, dtype=np.float32)
+    x = np.array([[1, 0.5, 0.2, 0.1], [0.1, 0.2, 0.5, 1]], np.float32)
+    row, cell = ann._sent(x, np.array([0, 3]), c, np.array([3, 4, 5, 50]), 1, 10)
+    assert sorted(zip(row.tolist(), cell.tolist())) == [(0, 0), (0, 1), (0, 2), (1, 3)]
+    row, cell = ann._sent(x, np.array([0, 3]), c, np.array([3, 4, 5, 50]), 1, 6)
+    assert sorted(zip(row.tolist(), cell.tolist())) == [(0, 0), (0, 1), (1, 3)]
+    row, cell = ann._sent(x, np.array([0, 3]), c, np.array([1, 0, 0, 1]), 2, 10)
+    assert sorted(zip(row.tolist(), cell.tolist())) == [(r, k) for r in (0, 1) for k in range(4)]
