@@ -422,7 +422,8 @@ def _statement(s: tuple) -> Callable[[dict, _Out], None]:
         items = e(env)
         if not isinstance(items, (list, tuple)):
             items = list(items) if isinstance(items, (str, dict)) else []
-        if len(items) > _LOOP_LIMIT:
+        # the messages of a conversation are data and may be any number
+        if len(items) > _LOOP_LIMIT and items is not env.get("messages"):
             raise TemplateError("loop over too many items")
         inner = dict(env)
         for i, item in enumerate(items):

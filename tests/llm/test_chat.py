@@ -70,3 +70,11 @@ def test_edge_cases(spark):
     df = spark.createDataFrame([(*r, "m") for r in rows], SCHEMA)
     assert {r.conv_id: tuple(r)[1:] for r in chat.render(df).collect()} == plain(rows)
     assert chat.render(df.where("false")).count() == 0
+
+
+def test_any_number_of_messages_is_rendered(monkeypatch):
+    monkeypatch.setattr(chat, "_LOOP_LIMIT", 3)
+    text, _ = chat.compile_template("{% for m in messages %}{{ m.text }},{% endfor %}")({"messages": [{"text": str(i)} for i in range(5)]})
+    assert text == "0,1,2,3,4,"
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template("{% for x in other %}{{ x }}{% endfor %}")({"other": "abcde", "messages": []})
