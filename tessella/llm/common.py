@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,16 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); one is made where none is set."""
+    """The folder that all executors share (``spark.checkpoint.dir``).
+
+    Where none is set, a session in one process gets a temporary one; on a cluster that is an error, as executors of
+    other machines could not read it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -48,6 +56,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def col(name: str) -> Column:
+    """The column of just this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [col(c) for c in df.columns]
+
+
 def word_count(text: Column) -> Column:
     """Words between white space, 0 for a null text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

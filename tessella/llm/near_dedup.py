@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import draw, fresh, sized, stage
+from .common import col, columns, draw, fresh, sized, stage
 
 RADIUS = 24
 RATIO = 0.8
@@ -75,8 +75,8 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, h: hash of the text, n: distinct words, f0, f1), staged; without null ids and texts that have no word."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    rows = docs.where(col(id_col).isNotNull() & col(text).isNotNull())
+    rows = rows.select(col(id_col).cast("long").alias("doc_id"), F.xxhash64(col(text)).alias("h"), col(text).alias("text"))
     out = rows.mapInArrow(_prints, "doc_id long, h long, n int, f0 long, f1 long")
     return stage(out.where("n > 0"), "fingerprints")
 
@@ -145,7 +145,7 @@ class Tree:
 
 def _search(radius: int, ratio: float):
     def search(t: pa.Table) -> pa.Table:
-        ids, n, f0, f1 = (t[c].to_numpy() for c in ("doc_id", "n", "f0", "f1"))
+        ids, h, n, f0, f1 = (t[c].to_numpy() for c in ("doc_id", "h", "n", "f0", "f1"))
         home = t["home"].to_numpy()
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         own, guests = (np.flatnonzero(x)[np.argsort(n[x], kind="stable")] for x in (home, ~home))
@@ -163,23 +163,30 @@ def _search(radius: int, ratio: float):
                     i, j = np.nonzero(_ones(f0[block][:, None] ^ f0[c][None, :]) <= radius)
                     i, j = block[i], c[j]
                     if mine and s < lo + 128:  # pairs within the block come once
-                        once = (n[i] < n[j]) | ((n[i] == n[j]) & (ids[i] < ids[j]))
+                        once = (n[i] < n[j]) | ((n[i] == n[j]) & (i < j))
                         once |= ~np.isin(j, block)
                         i, j = i[once], j[once]
                     d = hamming(f0[i], f1[i], f0[j], f1[j])
                     ok = (d <= radius) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]) - 1e-9)
                     if ok.any():
-                        found.append((ids[i[ok]], ids[j[ok]], d[ok]))
-        a, b, d = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
-        return pa.table({"doc_a": np.minimum(a, b), "doc_b": np.maximum(a, b), "distance": d.astype(np.int32)})
+                        found.append((i[ok], j[ok], d[ok]))
+        i, j, d = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        turn = (ids[i] > ids[j]) | ((ids[i] == ids[j]) & (h[i] > h[j]))
+        a, b = np.where(turn, j, i), np.where(turn, i, j)
+        return pa.table({"doc_a": ids[a], "h_a": h[a], "doc_b": ids[b], "h_b": h[b], "distance": d.astype(np.int32)})
 
     return search
 
 
 def _met(prints: DataFrame, radius: int, ratio: float) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints (n, f0, f1, doc_id: the least, ids: how many), and the near pairs of those least ids."""
+    """Fingerprints (n, f0, f1, doc_id and h: the least document, texts: how many), and the near pairs of those least documents.
+
+    A document is an id with a text, as an id may come with several texts.
+    """
     spark = prints.sparkSession
-    unique = stage(prints.groupBy("n", "f0", "f1").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("ids")), "unique")
+    each = prints.select("n", "f0", "f1", F.struct("doc_id", "h").alias("doc")).groupBy("n", "f0", "f1")
+    unique = each.agg(F.min("doc").alias("doc"), F.count_distinct("doc").alias("texts")).select("n", "f0", "f1", "doc.doc_id", "doc.h", "texts")
+    unique = stage(unique, "unique")
     total = unique.count()
     drawn = draw(unique.select("n", "f0", "f1"), total, SAMPLE, "f0", "f1", "n").toPandas()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
@@ -187,49 +194,50 @@ def _met(prints: DataFrame, radius: int, ratio: float) -> tuple[DataFrame, DataF
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, shard, home = tree.route(*(b.column(i).to_numpy() for i in (1, 2, 3)))
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in b.columns), pa.array(shard.astype(np.int32)), pa.array(home.astype(bool))], names=["doc_id", "n", "f0", "f1", "shard", "home"])
+            row, shard, home = tree.route(*(b.column(i).to_numpy() for i in (2, 3, 4)))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in b.columns), pa.array(shard.astype(np.int32)), pa.array(home.astype(bool))], names=["doc_id", "h", "n", "f0", "f1", "shard", "home"])
 
-    routed = unique.select("doc_id", "n", "f0", "f1").mapInArrow(route, "doc_id long, n int, f0 long, f1 long, shard int, home boolean")
-    found = routed.groupBy("shard").applyInArrow(_search(radius, ratio), "doc_a long, doc_b long, distance int")
-    return unique, found.where("doc_a <> doc_b")
+    routed = unique.select("doc_id", "h", "n", "f0", "f1").mapInArrow(route, "doc_id long, h long, n int, f0 long, f1 long, shard int, home boolean")
+    return unique, routed.groupBy("shard").applyInArrow(_search(radius, ratio), "doc_a long, h_a long, doc_b long, h_b long, distance int")
 
 
 def pairs_of(prints: DataFrame, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
-    """Near pairs of staged fingerprints; see ``near_pairs``."""
+    """(doc_a, h_a, doc_b, h_b, distance): pairs of documents that connect all near copies of staged fingerprints; see ``near_pairs``."""
     unique, found = _met(prints, radius, ratio)
-    same = unique.where("ids > 1").select("n", "f0", "f1", F.col("doc_id").alias("doc_a"))
-    members = prints.join(same, ["n", "f0", "f1"]).where("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(0).alias("distance")).distinct()
-    return found.unionAll(members)
+    same = unique.where("texts > 1").select("n", "f0", "f1", F.col("doc_id").alias("doc_a"), F.col("h").alias("h_a"))
+    members = prints.join(same, ["n", "f0", "f1"]).where("doc_id <> doc_a or h <> h_a")
+    return found.unionAll(members.select("doc_a", "h_a", F.col("doc_id").alias("doc_b"), F.col("h").alias("h_b"), F.lit(0).alias("distance")).distinct())
 
 
 def all_pairs_of(prints: DataFrame, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
     """All near pairs of staged fingerprints; see ``all_pairs``."""
     unique, found = _met(prints, radius, ratio)
-    same = unique.where("ids > 1").select("n", "f0", "f1", F.col("doc_id").alias("rep"), F.ceil(F.col("ids") / LIST).alias("lists"))
-    lists = prints.join(same, ["n", "f0", "f1"]).groupBy("rep", F.pmod(F.xxhash64("doc_id"), "lists").alias("part")).agg(F.collect_set("doc_id").alias("ids"))
+    same = unique.where("texts > 1").select("n", "f0", "f1", F.col("doc_id").alias("rep"), F.col("h").alias("rep_h"), F.ceil(F.col("texts") / LIST).alias("lists"))
+    lists = prints.join(same, ["n", "f0", "f1"]).groupBy("rep", "rep_h", F.pmod(F.xxhash64("doc_id"), "lists").alias("part")).agg(F.collect_set("doc_id").alias("ids"))
     lists = stage(lists, "lists")
-    x, y = (lists.select(F.col("rep").alias(f"doc_{c}"), F.col("part").alias(f"part_{c}"), F.col("ids").alias(f"ids_{c}")) for c in "ab")
-    near = found.join(x, "doc_a", "left").join(y, "doc_b", "left")
-    near = near.select("doc_a", "part_a", "doc_b", "part_b", "distance", F.coalesce("ids_a", F.array("doc_a")).alias("ids_a"), F.coalesce("ids_b", F.array("doc_b")).alias("ids_b"))
-    equal = x.join(y, F.col("doc_a") == F.col("doc_b")).where("part_a <= part_b")
-    equal = equal.select("doc_a", "part_a", "doc_b", "part_b", F.lit(0).alias("distance"), "ids_a", "ids_b")
+    x, y = (lists.select(F.col("rep").alias(f"doc_{c}"), F.col("rep_h").alias(f"h_{c}"), F.col("part").alias(f"part_{c}"), F.col("ids").alias(f"ids_{c}")) for c in "ab")
+    near = found.join(x, ["doc_a", "h_a"], "left").join(y, ["doc_b", "h_b"], "left")
+    key = ["doc_a", "h_a", "part_a", "doc_b", "h_b", "part_b"]
+    near = near.select(*key, "distance", F.coalesce("ids_a", F.array("doc_a")).alias("ids_a"), F.coalesce("ids_b", F.array("doc_b")).alias("ids_b"))
+    equal = x.join(y, (F.col("doc_a") == F.col("doc_b")) & (F.col("h_a") == F.col("h_b"))).where("part_a <= part_b")
+    equal = equal.select(*key, F.lit(0).alias("distance"), "ids_a", "ids_b")
     # the lists of a large group are dealt to tasks before they are multiplied
-    dealt = near.unionAll(equal).repartition("doc_a", "part_a", "doc_b", "part_b")
-    twice = (F.col("doc_a") == F.col("doc_b")) & (F.col("part_a") == F.col("part_b"))
+    dealt = near.unionAll(equal).repartition(*key)
+    twice = (F.col("doc_a") == F.col("doc_b")) & (F.col("h_a") == F.col("h_b")) & (F.col("part_a") == F.col("part_b"))
     each = dealt.select("distance", "ids_b", twice.alias("twice"), F.explode("ids_a").alias("a")).select("distance", "twice", "a", F.explode("ids_b").alias("b"))
     each = each.where((F.col("a") < F.col("b")) | (~F.col("twice") & (F.col("a") > F.col("b"))))
     return each.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "distance")
 
 
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
-    """(doc_a, doc_b, distance): pairs that connect all near copies, doc_a < doc_b, exact for the fingerprints.
+    """(doc_a, doc_b, distance): pairs that connect all near copies, doc_a <= doc_b, exact for the fingerprints.
 
     Documents with equal fingerprints and word counts are paired with the least id among them only, which stands for
     all of them in the other pairs; so a group of n copies takes n - 1 rows. Rows with a null id or text, and texts
-    without a word, are in no pair. A repeated row is one document. An empty table gives no pairs.
+    without a word, are in no pair. A repeated row is one document; an id of several texts is as many documents, and
+    two of them that are near give a pair of equal ids. An empty table gives no pairs.
     """
-    return pairs_of(fingerprints(docs, id_col, text), radius, ratio)
+    return pairs_of(fingerprints(docs, id_col, text), radius, ratio).select("doc_a", "doc_b", "distance")
 
 
 def all_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
@@ -237,17 +245,17 @@ def all_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radiu
 
     A group of n copies takes n(n - 1)/2 rows, and each of them has its own pairs with near copies. Rows with a null
     id or text, and texts without a word, are in no pair. A repeated row is one document; an id of several texts has
-    the pairs of each. An empty table gives no pairs.
+    the pairs of each (one where their fingerprints are equal), but none with itself. An empty table gives no pairs.
     """
     return all_pairs_of(fingerprints(docs, id_col, text), radius, ratio)
 
 
-def groups_of(pairs: DataFrame) -> DataFrame:
-    """(doc_id, leader): every document of ``pairs`` with the least id that is connected to it.
+def groups_of(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
+    """(doc, leader): every end of ``pairs`` with the least one that is connected to it. Ends may be structs.
 
     Labels spread along edges that are contracted to the labels themselves, until no label changes.
     """
-    edges = stage(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), "edges")
+    edges = stage(pairs.select(col(a).alias("a"), col(b).alias("b")), "edges")
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("leader")), "labels")
     while True:
@@ -257,25 +265,28 @@ def groups_of(pairs: DataFrame) -> DataFrame:
         moved = labels.join(least, "a").join(up, "leader").select("a", F.least("leader", "near", "above").alias("new"), "leader")
         moved = stage(moved, "labels")
         if moved.where("new <> leader").isEmpty():
-            return moved.select(F.col("a").alias("doc_id"), "leader")
+            return moved.select(F.col("a").alias("doc"), "leader")
         labels = moved.select("a", F.col("new").alias("leader"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one of the least id.
+    """``docs`` with one document of each group of near copies: the one of the least id, and of its texts the least hash.
 
-    A group is what pairs connect. Of rows that repeat an id and a text one stays. Rows with a null id or text, or a
-    text without a word, all stay. Columns stay as they are; an empty table stays empty.
+    A group is what pairs connect. A document is an id with a text: a text that is no near copy stays whatever others
+    have its id. Of rows that repeat an id and a text one stays. Rows with a null id or text, or a text without a
+    word, all stay. Columns stay as they are, whatever their names; an empty table stays empty.
     """
     prints = fingerprints(docs, id_col, text)
-    groups = groups_of(pairs_of(prints, radius, ratio))
-    id_c, rn = fresh(docs, "id", "rn")
-    gone = stage(groups.where("doc_id <> leader").select(F.col("doc_id").alias(id_c)), "gone")
-    kept = docs.join(sized(gone), F.col(id_col) == F.col(id_c), "left_anti")
-    again = stage(prints.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias(id_c)).distinct(), "repeated")
+    ends = pairs_of(prints, radius, ratio).select(*[F.struct(F.col(f"doc_{c}").alias("doc_id"), F.col(f"h_{c}").alias("h")).alias(c) for c in "ab"])
+    id_c, h_c, rn = fresh(docs, "id", "h", "rn")
+    key = [F.col("doc.doc_id").alias(id_c), F.col("doc.h").alias(h_c)]
+    gone = stage(groups_of(ends, "a", "b").where("doc <> leader").select(*key), "gone")
+    own = (col(id_col) == F.col(id_c)) & (F.xxhash64(col(text)) == F.col(h_c))
+    kept = docs.join(sized(gone), own, "left_anti")
+    again = stage(prints.groupBy("doc_id", "h").count().where("count > 1").select(F.struct("doc_id", "h").alias("doc")).select(*key), "repeated")
     if again.isEmpty():
         return kept
-    one = Window.partitionBy(id_col, text).orderBy(F.lit(0))
-    hit = kept.join(sized(again), F.col(id_col) == F.col(id_c), "left_semi").withColumn(rn, F.row_number().over(one)).where(F.col(rn) == 1)
-    rest = kept.join(sized(again), F.col(id_col) == F.col(id_c), "left_anti")
-    return rest.unionAll(hit.select(docs.columns))
+    again = sized(again)
+    one = Window.partitionBy(col(id_col), col(text)).orderBy(F.lit(0))
+    hit = kept.join(again, own, "left_semi").withColumn(rn, F.row_number().over(one)).where(F.col(rn) == 1)
+    return kept.join(again, own, "left_anti").unionAll(hit.select(columns(docs)))

@@ -159,5 +159,49 @@ def test_radius_catches_most_copies_with_a_tenth_replaced():
 
 def test_groups_follow_long_chains(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "doc_a long, doc_b long")
-    got = {r.doc_id: r.leader for r in near_dedup.groups_of(pairs).collect()}
+    got = {r.doc: r.leader for r in near_dedup.groups_of(pairs).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+
+
+def other(k, n=200):
+    return " ".join(f"t{k}w{i}" for i in range(n))
+
+
+def test_an_id_of_several_texts_loses_only_near_copies(spark):
+    a = other(0)
+    rows = [(1, a), (2, a + " more"), (2, other(1)), (3, other(2)), (2, other(2) + " more"), (4, other(3)), (4, other(3) + " more")]
+    docs = make(spark, rows)
+    left = sorted((r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(docs).collect())
+    # 2's copy of 3 leads its group, as its id is the least; 4's two texts are one group
+    assert sorted(i for i, _ in left) == [1, 2, 2, 4]
+    assert (2, other(1)) in left and (2, other(2) + " more") in left and (1, a) in left
+    assert sorted((r.doc_a, r.doc_b) for r in near_dedup.all_pairs(docs).collect()) == [(1, 2), (2, 3)]
+    assert sorted((r.doc_a, r.doc_b) for r in near_dedup.near_pairs(docs).collect()) == [(1, 2), (2, 3), (4, 4)]
+
+
+def test_ids_shared_by_unrelated_texts_do_not_join_groups(spark):
+    """Every text stands twice, in copies whose ids all clash with those of other texts."""
+    rows = [(i % 5, other(i)) for i in range(20)] + [((i + 1) % 5, other(i) + " more") for i in range(20)]
+    assert near_dedup.drop_near_duplicates(make(spark, rows)).count() == 20
+
+
+NAMES = "doc_id long, text string, `a.b` string, `_metadata` string, `__id` int, `c``d` int"
+
+
+def test_any_column_names(spark):
+    rows = [(1, other(0), "x", "m", 1, 2), (2, other(0) + " more", "y", "n", 3, 4), (3, other(0), "x", "m", 1, 2), (3, other(0), "z", "m", 1, 2)]
+    docs = spark.createDataFrame(rows, NAMES)
+    near = near_dedup.drop_near_duplicates(docs)
+    assert near.columns == docs.columns and [tuple(r) for r in near.collect()] == rows[:1]
+    once = near_dedup.drop_near_duplicates(docs.where("doc_id = 3"))
+    assert once.columns == docs.columns and once.count() == 1
+    exact = exact_dedup.drop_duplicates(docs)
+    assert exact.columns == docs.columns and sorted(tuple(r) for r in exact.collect()) == rows[:2]
+    assert [tuple(r) for r in exact_dedup.duplicate_pairs(docs).collect()] == [(3, 1), (3, 1)]
+
+
+def test_a_column_called_metadata_of_a_file(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", "m"), (2, "a", "n"), (3, "b", "o")], "doc_id long, text string, `_metadata` string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    got = exact_dedup.drop_duplicates(spark.read.parquet(f"{tmp_path}/docs"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a", "m"), (3, "b", "o")]
