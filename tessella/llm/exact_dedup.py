@@ -16,9 +16,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, shared_path, stage
+from .common import col, shared_path, stage
 
 BITS = 48
+#: Fingerprints that an owner gets, about; there are as many owners as that takes, and one for each shuffle partition at least.
+OWNED = 2_000_000
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -105,21 +107,29 @@ def _load(folder: str, sender: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def _with_suspects(docs: DataFrame, text: str) -> tuple[DataFrame, str, str]:
-    """``docs`` with two columns more: the fingerprint and whether it may occur twice."""
+def _with_suspects(docs: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns called c0, c1, ..., and two more: the fingerprint ``fp`` and ``suspect``, whether that occurs twice.
+
+    The names that columns had play no part, so that none can clash; callers give them back.
+    """
     spark = docs.sparkSession
-    sender_c, fp_c, suspect_c = fresh(docs, "sender", "fp", "suspect")
-    try:
-        docs.select("_metadata.file_path").schema  # noqa: B018
-    except AnalysisException:
-        docs = stage(docs, "rows")
-    fp = F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << BITS) - 1))
-    keyed = docs.withColumn(sender_c, F.xxhash64(F.col("_metadata.file_path"))).withColumn(fp_c, F.when(F.col(text).isNotNull(), fp))
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    if "_metadata" in (c.lower() for c in docs.columns):
+        plain = stage(docs.toDF(*names), "rows")
+    else:
+        plain = docs.toDF(*names)
+        try:
+            plain.select("_metadata.file_path").schema  # noqa: B018
+        except AnalysisException:  # not the rows of files: then they are written to some
+            plain = stage(plain, "rows")
+    text_c = names[docs.columns.index(text)]
+    fp = F.xxhash64(F.col(text_c)).bitwiseAND(F.lit((1 << BITS) - 1))
+    keyed = plain.withColumn("sender", F.xxhash64(F.col("_metadata.file_path"))).withColumn("fp", F.when(F.col(text_c).isNotNull(), fp))
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plain.count() // OWNED))
     owner_bits = max(1, (owners - 1).bit_length())
-    sent = keyed.where(F.col(fp_c).isNotNull()).select(sender_c, fp_c).mapInArrow(_send(owner_bits), "sender long, owner long, blob binary")
+    sent = keyed.where(F.col("fp").isNotNull()).select("sender", "fp").mapInArrow(_send(owner_bits), "sender long, owner long, blob binary")
     folder = shared_path(spark, "answers")
-    replies = sent.groupBy("owner").applyInPandas(_answer, "sender long, blob binary, bitmap binary")
+    replies = sent.repartition(owners, "owner").groupBy("owner").applyInPandas(_answer, "sender long, blob binary, bitmap binary")
     replies.repartition("sender").write.partitionBy("sender").parquet(folder)
 
     @F.pandas_udf("boolean")
@@ -135,7 +145,7 @@ def _with_suspects(docs: DataFrame, text: str) -> tuple[DataFrame, str, str]:
                 out[at] = np.isin(fps[at].astype(np.uint64), known[s]) & (fps[at] >= 0)
             yield pd.Series(out)
 
-    return keyed.withColumn(suspect_c, suspect(F.col(sender_c), F.col(fp_c))).drop(sender_c), fp_c, suspect_c
+    return keyed.withColumn("suspect", suspect(F.col("sender"), F.col("fp"))).drop("sender"), names
 
 
 def duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,10 +154,10 @@ def duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     A null text equals no other and is in no pair; empty texts equal each other. A repeated row is a duplicate of its
     first copy, so that both ids are the same. Other columns play no part. An empty table gives no pairs.
     """
-    marked, fp, suspect = _with_suspects(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text")
-    same = Window.partitionBy(fp, "text").orderBy(F.col("doc_id").asc_nulls_last())
-    ranked = marked.where(suspect).withColumn("rn", F.row_number().over(same)).withColumn("duplicate_of", F.first("doc_id").over(same))
-    return ranked.where("rn > 1").select("doc_id", "duplicate_of")
+    marked, _ = _with_suspects(docs.select(col(id_col).alias("doc_id"), col(text).alias("text")), "text")
+    same = Window.partitionBy("fp", "c1").orderBy(F.col("c0").asc_nulls_last())
+    ranked = marked.where("suspect").withColumn("rn", F.row_number().over(same)).withColumn("duplicate_of", F.first("c0").over(same))
+    return ranked.where("rn > 1").select(F.col("c0").alias("doc_id"), "duplicate_of")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,8 +165,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     Rows with a null text all stay. Columns and their order stay, whatever their names; an empty table stays empty.
     """
-    marked, fp, suspect = _with_suspects(docs, text)
-    (rn,) = fresh(marked, "rn")
-    first = Window.partitionBy(fp, text).orderBy(F.col(id_col).asc_nulls_last())
-    kept = marked.where(suspect).withColumn(rn, F.row_number().over(first)).where(F.col(rn) == 1)
-    return marked.where(~F.col(suspect)).select(docs.columns).unionAll(kept.select(docs.columns))
+    marked, names = _with_suspects(docs, text)
+    at = dict(zip(docs.columns, names))
+    first = Window.partitionBy("fp", at[text]).orderBy(F.col(at[id_col]).asc_nulls_last())
+    kept = marked.where("suspect").withColumn("rn", F.row_number().over(first)).where("rn = 1")
+    return marked.where("not suspect").select(names).unionAll(kept.select(names)).toDF(*docs.columns)
