@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, sized, stage, word_count
+from .common import col, columns, fresh, sized, stage, word_count
 
 HASH_BITS = 60
-BUCKET_BITS = 12
+BUCKET_BITS = 15
 #: Share of all tokens up to which the scarcest sources together don't set the scale, and the least share that is kept.
 NEGLIGIBLE = 0.01
 RETAIN = 0.75
@@ -91,13 +91,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     Tokens are words between white space. Of each source, rows stay in order of their hash as long as the sum of
     tokens, ties of the hash included, is within the source's budget: rows with one id stay or go together. A null
     source is a source of its own; a null text has no tokens; null ids share a hash. Sources are few (their budgets
-    are broadcast after a check of their number). Columns stay as they are; an empty table stays empty.
+    are broadcast after a check of their number). Columns stay as they are, whatever their names; an empty table stays
+    empty.
     """
     hash_c, below_c, source_c = fresh(docs, "h", "below", "source")
-    meta = stage(docs.select(F.col(source).alias("source"), id_hash(F.col(id_col), seed).alias("h"), word_count(F.col(text)).alias("tokens")), "meta")
+    meta = stage(docs.select(col(source).alias("source"), id_hash(col(id_col), seed).alias("h"), word_count(col(text)).alias("tokens")), "meta")
     totals = stage(meta.groupBy("source").agg(F.sum("tokens").alias("tokens")), "totals")
     cuts = thresholds(meta, budgets(totals, power, weights, retain))
-    keyed = docs.withColumn(hash_c, id_hash(F.col(id_col), seed))
+    keyed = docs.withColumn(hash_c, id_hash(col(id_col), seed))
     cuts = sized(cuts.select(F.col("source").alias(source_c), F.col("below").alias(below_c)))
-    hit = keyed.join(cuts, F.col(source).eqNullSafe(F.col(source_c)) & (F.col(hash_c) < F.col(below_c)), "left_semi")
-    return hit.select(docs.columns)
+    hit = keyed.join(cuts, col(source).eqNullSafe(F.col(source_c)) & (F.col(hash_c) < F.col(below_c)), "left_semi")
+    return hit.select(columns(docs))

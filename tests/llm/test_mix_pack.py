@@ -75,6 +75,15 @@ def test_scarce_sources_leave_the_retained_total(spark):
     assert Counter(s for _, s in kept(spark, rows, weights={"a": 2, "b": 1}, retain=0.5)) == {"a": 420, "b": 80}
 
 
+def test_any_column_names_and_long_texts(spark):
+    rows = [(1, "w " * 100_000, "a", 1, "x"), (2, "w", "b", 2, "y"), (3, "w " * 50_000, "a", 3, "z"), (3, "w " * 50_000, "a", 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int, `__h` string")
+    got = mixing.mix(docs, retain=1.0)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == sorted(rows)
+    # 100,000 of the 200,000 words of a: the repeated row goes or stays as one
+    assert sorted(r.doc_id for r in mixing.mix(docs, {"a": 100_000, "b": 1}).collect()) in ([1, 2], [2, 3, 3])
+
+
 def volume(bins):
     return Counter({s: 0 for s in ()}) + sum((Counter({s: n * b.count(s) for s in b}) for b, n, _ in bins), Counter())
 
@@ -119,6 +128,99 @@ def test_fixed_bins_cost_no_optimum(seed):
     assert fixed + optimum(rest, 50) == optimum(items, 50)
 
 
+def plain_best_fit(sizes, capacity):
+    """Largest first, each into the fullest bin that has room, by looking at every bin."""
+    bins = []
+    for s in sorted(sizes, reverse=True):
+        fits = [b for b in bins if sum(b) + s <= capacity]
+        if fits:
+            max(fits, key=sum).append(s)
+        else:
+            bins.append([s])
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_best_fit_matches_looking_at_every_bin(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, rng.choice([30, 100])) for _ in range(rng.randint(0, 120))]
+    got = Counter()
+    for b, n in packing._best_fit(Counter(sizes), 100).items():
+        got[sum(b)] += n
+    assert got == Counter(sum(b) for b in plain_best_fit(sizes, 100))
+
+
+def plain_pack(sizes, capacity):
+    """(bins fixed, rest): a piece is fixed with the partners that every other choice could be swapped for, found by trying all choices."""
+    left, fixed = sorted(sizes), []
+
+    def sums(room, pool):
+        out = {()}
+        for x in pool:
+            out |= {(*c, x) for c in out if sum(c) + x <= room}
+        return out
+
+    def partners(s, pool):
+        sets = sums(capacity - s, pool)
+        most = max(map(len, sets))
+        if most == 0:
+            return ()
+        one = max(x for c in sets for x in c)
+        if one == capacity - s or most == 1 or (most == 2 and one >= max(sum(c) for c in sets if len(c) == 2)):
+            return (one,)
+        if most > 2:
+            return None
+        pool = list(pool)
+        pool.remove(one)
+        fits = [x for x in pool if one + x <= capacity - s]
+        if not fits:
+            return None
+        other = max(fits)
+        bigger = sorted(x for x in pool if x > other)
+        # the first of the pair bounds the larger of any two; the second has to bound the smaller
+        return (one, other) if len(bigger) < 2 or bigger[0] + bigger[1] > capacity - s else None
+
+    changed = True
+    while changed:
+        changed = False
+        for s in sorted(set(left), reverse=True):
+            while s in left:
+                left.remove(s)
+                beside = partners(s, left)
+                if beside is None:
+                    left.append(s)
+                    break
+                for x in beside:
+                    left.remove(x)
+                fixed.append(sorted((s, *beside)))
+                changed = True
+    return fixed, plain_best_fit(left, capacity)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_whole_method_matches_plain_python(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(rng.choice([5, 15]), 60) for _ in range(rng.randint(1, 14))]
+    bins = packing.reduce_and_fit(Counter(sizes), 60)
+    fixed, rest = plain_pack(sizes, 60)
+    assert sorted(sorted(b) for b, n, sure in bins if sure for _ in range(n)) == sorted(fixed)
+    assert sorted(sum(b) for b, n, sure in bins if not sure for _ in range(n)) == sorted(map(sum, rest))
+
+
+def test_query_places_match_plain_python(spark, sf):
+    """The query's bins against the plain method on the pieces of each shard."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = packing.pack(docs).collect()
+    pieces = [min(packing.CAPACITY, n - p) for r in docs.collect() if (n := len((r.text or "").split())) for p in range(0, n, packing.CAPACITY)]
+    assert sorted(r.n_tokens for r in out) == sorted(pieces)
+    bins = {}
+    for r in out:
+        bins.setdefault((r.bin_id, r.fixed), []).append(r.n_tokens)
+    rest = [s for (_, sure), b in bins.items() if not sure for s in b]
+    assert len({b for b, _ in bins}) == len(bins)
+    assert sorted(sum(b) for (_, sure), b in bins.items() if not sure) == sorted(map(sum, plain_best_fit(rest, packing.CAPACITY)))
+
+
 def test_pack_round_trip(spark):
     rows = [(i, "w " * (i * 37 % 5000), "a") for i in range(300)] + [(None, "w w w", "b"), (7, None, "a"), (8, "", "a"), (9, "w w", "a"), (9, "w w", "a")]
     out = packing.pack(make(spark, rows), 1000).collect()
