@@ -4,6 +4,7 @@ Templates hold text, ``{{ expression }}``, ``{% for x in y %}``, ``{% if %}``/``
 ``{% generation %}`` around what a model is to learn, and ``{# remarks #}``; ``-`` at a tag's edge strips white space.
 A template is parsed to a syntax tree, constants are folded, and the tree becomes nested Python closures. Names reach
 only the variables passed in; ``a.b`` and ``a[b]`` only look up keys and positions, so no Python attribute is in reach.
+Loops run over what a variable or a list holds, of any length; the language has no way to make a long list of its own.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ _TAG = re.compile(r"(\{\{-?.*?-?\}\}|\{%-?.*?-?%\}|\{#.*?#\})", re.S)
 _LEX = re.compile(r"\s*(?:(\d+\.\d+|\d+)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_]\w*)|(==|!=|<=|>=|//|[-+*/%~<>()\[\].,|=]))", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 _CONST = {"true": True, "True": True, "false": False, "False": False, "none": None, "None": None}
-_LOOP_LIMIT = 1_000_000
 
 
 class TemplateError(ValueError):
@@ -61,8 +61,16 @@ _FILTERS: dict[str, Callable] = {
     "join": lambda x, s="": _text(s).join(map(_text, x or [])),
     "replace": lambda x, a, b: _text(x).replace(_text(a), _text(b)),
 }
+
+
+def _times(a: Any, b: Any) -> Any:
+    if not isinstance(a, (int, float)) or not isinstance(b, (int, float)):
+        raise TemplateError("only numbers are multiplied")
+    return a * b
+
+
 _BINARY: dict[str, Callable] = {
-    "+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "//": operator.floordiv, "%": operator.mod,
+    "+": operator.add, "-": operator.sub, "*": _times, "/": operator.truediv, "//": operator.floordiv, "%": operator.mod,
     "~": lambda a, b: _text(a) + _text(b), "==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt,
     "<=": operator.le, ">=": operator.ge, "in": lambda a, b: b is not None and a in b, "not in": lambda a, b: b is None or a not in b,
 }
@@ -422,9 +430,6 @@ def _statement(s: tuple) -> Callable[[dict, _Out], None]:
         items = e(env)
         if not isinstance(items, (list, tuple)):
             items = list(items) if isinstance(items, (str, dict)) else []
-        # the messages of a conversation are data and may be any number
-        if len(items) > _LOOP_LIMIT and items is not env.get("messages"):
-            raise TemplateError("loop over too many items")
         inner = dict(env)
         for i, item in enumerate(items):
             inner[name] = item
@@ -456,7 +461,7 @@ def render(conversations: DataFrame, template: str = CHATML) -> DataFrame:
     """
     compile_template(template)
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    grouped = conversations.where("conv_id is not null").groupBy("conv_id").agg(turns.alias("messages"))
+    grouped = conversations.where("conv_id is not null").groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(turns.alias("messages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = compile_template(template)

@@ -38,6 +38,13 @@ def test_sandbox():
     assert go("{{ x.__class__ }}{{ x['__class__'] }}{{ ''.__class__.__mro__ }}", x="s") == ""
 
 
+def test_only_numbers_are_multiplied():
+    assert go("{{ n * 3 }}", n=2) == "6"
+    for a in ("a", [1]):
+        with pytest.raises(chat.TemplateError):
+            go("{{ x * 1000000 }}", x=a)
+
+
 def test_folding():
     tree = chat.fold_body(chat.parse("a{{ 'b' ~ 1 + 1 }}{% if false %}x{% else %}c{% endif %}{{ m }}"))
     assert tree[-1] == ("out", ("name", "m")) and len(tree) == 2 and tree[0][0] == "text"
@@ -72,9 +79,15 @@ def test_edge_cases(spark):
     assert chat.render(df.where("false")).count() == 0
 
 
-def test_any_number_of_messages_is_rendered(monkeypatch):
-    monkeypatch.setattr(chat, "_LOOP_LIMIT", 3)
-    text, _ = chat.compile_template("{% for m in messages %}{{ m.text }},{% endfor %}")({"messages": [{"text": str(i)} for i in range(5)]})
-    assert text == "0,1,2,3,4,"
-    with pytest.raises(chat.TemplateError):
-        chat.compile_template("{% for x in other %}{{ x }}{% endfor %}")({"other": "abcde", "messages": []})
+def test_loops_of_any_length_are_rendered():
+    many = 1_200_000
+    text, _ = chat.compile_template("{% for m in messages %}{{ m }}{% endfor %}{% for x in other %}{{ x }}{% endfor %}")({"messages": ["a"] * many, "other": "b" * many})
+    assert text == "a" * many + "b" * many
+
+
+def test_one_conversation_of_many_turns(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1_100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text"))
+    r = chat.render(df).select("conv_id", "n_turns", F.length("rendered").alias("n")).collect()
+    assert [tuple(x) for x in r] == [(1, 1_100_000, 1_100_000 * len("<|im_start|>user\nx<|im_end|>\n"))]
