@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
@@ -9,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled texts a language and bytes of them that its dictionary is made of.
+#: Labelled texts a language that a dictionary is made of, and bytes of whole ones that it holds.
 SAMPLE = 400
 DICTIONARY = 1 << 17
 #: Bytes that are compressed at a time; a longer text would become its own dictionary.
@@ -20,21 +21,40 @@ MARGIN = 0.02
 UNKNOWN = "und"
 
 
+def _drawn(docs: DataFrame, sample: int, folds: int) -> pd.DataFrame:
+    """(fold, lang, rn, text): of each language and fold, the ``sample`` labelled texts of the least hash of their id."""
+    h = F.xxhash64("text")
+    rows = docs.where("lang is not null and text is not null and doc_id is not null")
+    rows = rows.select(F.pmod(h, F.lit(folds)).alias("fold"), "lang", "doc_id", h.alias("h"), "text")
+    pick = Window.partitionBy("fold", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    ids = rows.select("fold", "lang", "doc_id", "h").distinct().withColumn("rn", F.row_number().over(pick)).where(F.col("rn") <= sample)
+    # at most ``sample`` ids a language and fold
+    got = rows.join(F.broadcast(ids.select("lang", "doc_id", "h", "rn")), ["lang", "doc_id", "h"])
+    return got.select("fold", "lang", "rn", "text").distinct().toPandas().sort_values(["fold", "lang", "rn", "text"])
+
+
+def _content(texts: Iterable[str], size: int) -> bytes:
+    """Whole texts, one after the other, each if it still fits into ``size`` bytes; the first in any case if none fits."""
+    out, seen, first = bytearray(), set(), b""
+    for text in texts:
+        raw = text.lower().encode() + b"\n"
+        first = first or raw
+        if text not in seen and len(out) + len(raw) <= size:
+            seen.add(text)
+            out += raw
+    return bytes(out) or first
+
+
 def dictionaries(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
     """Raw content by language from whole texts of at most ``sample`` labelled documents each, drawn by a hash of the id."""
-    rows = docs.where("lang is not null and text is not null and doc_id is not null")
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("lang", "doc_id").withColumn("rn", F.row_number().over(pick)).where(F.col("rn") <= sample)
-    # at most ``sample`` ids a language
-    got = rows.select("lang", "doc_id", "text").join(F.broadcast(ids.select("lang", "doc_id", "rn")), ["lang", "doc_id"]).select("lang", "rn", "text").toPandas()
-    out: dict[str, bytes] = {}
-    for lang, part in sorted(got.sort_values(["lang", "rn", "text"]).groupby("lang")):
-        content, seen = bytearray(), set()
-        for text in part["text"]:
-            if text not in seen and len(content) < size:
-                seen.add(text)
-                content += text.lower().encode() + b"\n"
-        out[str(lang)] = bytes(content[-size:])
+    return {str(lang): _content(part["text"], size) for lang, part in _drawn(docs, sample, 1).groupby("lang")}
+
+
+def fold_dictionaries(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> list[dict[str, bytes]]:
+    """Dictionaries for the texts of each of two folds by a hash of the text, made of texts of the other fold only."""
+    out: list[dict[str, bytes]] = [{}, {}]
+    for (fold, lang), part in _drawn(docs, sample, 2).groupby(["fold", "lang"]):
+        out[1 - int(fold)][str(lang)] = _content(part["text"], size)
     return out
 
 
@@ -60,25 +80,27 @@ def sizes(text: str, content: tuple[tuple[str, bytes], ...]) -> list[tuple[int,
 def identify(docs: DataFrame, dicts: dict[str, bytes] | None = None, margin: float = MARGIN) -> DataFrame:
     """(doc_id, language, best_bytes, margin) for every row of ``docs``.
 
-    ``margin`` is how much larger the second smallest size is, as a share of the smallest. ``language`` is ``und``
-    where it is below the least margin, so for ties, texts too short to tell and texts of two languages. Null and
-    empty texts are ``und`` with null sizes, as is every text where fewer than two languages have dictionaries.
-    Repeated rows give equal rows; an empty table gives none.
+    Without given dictionaries they are made of the labelled rows of ``docs``, in two folds, so that no text is scored
+    by a dictionary that holds it or an exact copy of it. ``margin`` is how much larger the second smallest size is, as
+    a share of the smallest. ``language`` is ``und`` where it is below the least margin, so for ties, texts too short to
+    tell and texts of two languages. Null and empty texts are ``und`` with null sizes, as is every text where fewer than
+    two languages have dictionaries. Repeated rows give equal rows; other columns play no part; an empty table gives none.
     """
-    content = tuple(sorted((dictionaries(docs) if dicts is None else dicts).items()))
-    shared = docs.sparkSession.sparkContext.broadcast(content)
+    folds = fold_dictionaries(docs) if dicts is None else [dicts]
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(sorted(d.items())) for d in folds])
 
     @F.pandas_udf("language string, best_bytes long, margin double")
-    def score(texts: pd.Series) -> pd.DataFrame:
+    def score(texts: pd.Series, fold: pd.Series) -> pd.DataFrame:
         rows = []
-        for t in texts:
-            if not t or len(shared.value) < 2:
+        for t, f in zip(texts, fold):
+            if not t or len(shared.value[f]) < 2:
                 rows.append((UNKNOWN, None, None))
                 continue
-            (best, lang), (second, _) = sizes(t, shared.value)[:2]
+            (best, lang), (second, _) = sizes(t, shared.value[f])[:2]
             m = (second - best) / best
             rows.append((lang if m >= margin else UNKNOWN, best, m))
         out = pd.DataFrame(rows, columns=["language", "best_bytes", "margin"])
         return out.astype({"best_bytes": "Int64", "margin": "Float64"})
 
-    return docs.select("doc_id", "text").select("doc_id", score("text").alias("s")).select("doc_id", "s.language", "s.best_bytes", "s.margin")
+    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(len(folds))).cast("int").alias("fold"))
+    return rows.select("doc_id", score("text", "fold").alias("s")).select("doc_id", "s.language", "s.best_bytes", "s.margin")
