@@ -34,7 +34,7 @@ class Model:
 
     def margin(self, found: set) -> float:
         hits = found & self.weights.keys()
-        return sum(map(self.weights.__getitem__, hits)) / math.sqrt(len(hits)) + self.bias if hits else self.bias
+        return math.fsum(map(self.weights.__getitem__, hits)) / math.sqrt(len(hits)) + self.bias if hits else self.bias
 
 
 def vocabulary(texts: list[str], min_df: int = 4) -> tuple[list, list[np.ndarray]]:
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     label or text are not used.
     """
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    drawn = draw(marks, labels.count(), sample, "doc_id")
+    drawn = draw(marks, labels.agg(F.count_distinct("doc_id")).first()[0], sample, "doc_id")
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
     # the sample is bounded, so it may be broadcast; repeated ids give one text
     got = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic")).toPandas().sort_values("doc_id")
@@ -140,7 +140,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     ``keep`` holds where the quality margin is not negative and the toxicity margin is not positive. A text without
     a word or sign, a null one included, has null margins and is not kept. Where the labels are of one class or
-    none, the margin is 0 and does not count against a document. Repeated rows are scored alike.
+    none, the margin is 0 and does not count against a document. Repeated rows are scored alike; of ``labels`` only the
+    columns doc_id, quality and toxic are read. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
 
@@ -155,7 +156,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with their columns."""
+    """The rows of ``docs`` that ``classify`` keeps, with their columns, whatever those are called beside ``doc_id`` and ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
 
     @F.pandas_udf("boolean")

@@ -1,6 +1,10 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessella.llm import quality
 
@@ -62,3 +66,93 @@ def test_no_or_one_class(spark):
         assert out == {1: True, 2: False}
     none = quality.classify(docs.where("false"), spark.createDataFrame([], LABELS))
     assert none.count() == 0 and quality.keep_good(docs.where("false"), spark.createDataFrame([], LABELS)).count() == 0
+
+
+def plain_features(text):
+    tokens = re.findall(r"\w+|[^\w\s]+", text.lower())
+    pairs = {(a, b) for a, b in zip(tokens, tokens[1:])}
+    return set(tokens) | pairs | {min(8, len([1 for a, b in pairs if a == b]))}
+
+
+def plain_model(texts, y, c=1.0, beta=0.25, passes=12, seed=5):
+    """Weights and intercept by the definition: a dense matrix and the dual solved coordinate by coordinate."""
+    df = Counter(f for t in texts for f in plain_features(t))
+    names, number = [], {}
+    for t in texts:
+        for f in sorted(plain_features(t), key=str):
+            if df[f] >= 4 and f not in number:
+                number[f] = len(names)
+                names.append(f)
+    x = np.zeros((len(texts), len(names)))
+    for i, t in enumerate(texts):
+        x[i, [number[f] for f in plain_features(t) if f in number]] = 1
+    y = np.array(y)
+    p, q = 1 + x[y == 1].sum(0), 1 + x[y == 0].sum(0)
+    r = np.log(p / p.sum()) - np.log(q / q.sum())
+    z = x * r / np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
+    z = np.hstack([z, np.ones((len(z), 1))])
+    s = np.where(y == 1, 1.0, -1.0)
+    most = c * 0.5 / np.where(y == 1, (y == 1).mean(), (y == 0).mean())
+    a, w = np.zeros(len(y)), np.zeros(z.shape[1])
+    rng = np.random.default_rng(seed)
+    for _ in range(passes):
+        before = a.copy()
+        for i in rng.permutation(len(y)):
+            new = np.clip(a[i] - (s[i] * (z[i] @ w) - 1) / (z[i] @ z[i]), 0, most[i])
+            w = w + (new - a[i]) * s[i] * z[i]
+            a[i] = new
+        if np.abs(a - before).max() < 1e-3:
+            break
+    v = ((1 - beta) * np.abs(w[:-1]).mean() + beta * w[:-1]) * r
+    m = (x @ v) / np.sqrt(np.maximum(1, x.sum(1)))
+    best = None
+    for lo, hi in zip(sorted(m), sorted(m)[1:]):
+        b = (lo + hi) / 2
+        wrong = ((m <= lo) & (y == 1)).sum() / (y == 1).sum() + ((m >= hi) & (y == 0)).sum() / (y == 0).sum()
+        if hi > lo and (best is None or (wrong, -(hi - lo)) < (best[0] - 1e-12, 0) or (abs(wrong - best[0]) <= 1e-12 and hi - lo > best[1])):
+            best = (wrong, hi - lo, b)
+    return {f: v[i] for f, i in number.items()}, -best[2]
+
+
+def plain_margin(model, text):
+    weights, b = model
+    hits = [weights[f] for f in plain_features(text) if f in weights]
+    return sum(hits) / math.sqrt(len(hits)) + b if hits else b
+
+
+def test_query_matches_plain_python(spark, sf):
+    from tessella.llm import queries
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    marks = sorted((r.doc_id, r.quality, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect())
+    texts = [docs[i] for i, _, _ in marks]
+    models = [plain_model(texts, [m[k] for m in marks]) for k in (1, 2)]
+    out = queries.op9_quality_classifier(spark, sf).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        if not docs[r.doc_id] or not plain_features(docs[r.doc_id]) - set(range(9)):
+            assert r.quality_margin is None and r.toxic_margin is None and not r.keep
+            continue
+        q, t = (plain_margin(m, docs[r.doc_id]) for m in models)
+        assert abs(q - r.quality_margin) < 1e-6 and abs(t - r.toxic_margin) < 1e-6
+        assert r.keep == (r.quality_margin >= 0 and r.toxic_margin <= 0)
+
+
+def test_ties_at_margin_0_are_kept_and_labels_may_have_any_columns(spark):
+    rows, labels = corpus(120, 3)
+    docs = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame([(*m, "other", 1, 2.0) for m in labels], LABELS + ", text string, keep int, quality_margin double")
+    plain_marks = spark.createDataFrame(labels, LABELS)
+    assert sorted(map(tuple, quality.classify(docs, marks).collect())) == sorted(map(tuple, quality.classify(docs, plain_marks).collect()))
+    # models of one class are none: all margins are 0, ties that count for the document
+    one = quality.classify(docs, plain_marks.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).collect()
+    assert all(r.quality_margin == 0 and r.toxic_margin == 0 and r.keep for r in one)
+    assert quality.keep_good(docs, marks).columns == docs.columns
+
+
+def test_repeated_labels_do_not_thin_the_sample(spark):
+    rows, labels = corpus(400, 4)
+    docs = spark.createDataFrame(rows, DOCS)
+    once, often = (spark.createDataFrame(labels * n, LABELS) for n in (1, 30))
+    a, b = (sorted(map(tuple, quality.classify(docs, m, sample=100).collect())) for m in (once, often))
+    assert a == b
