@@ -135,7 +135,7 @@ def match(pages: DataFrame, rules: DataFrame, rule_col: str = "rule", id_col: st
     """(page_id, url, blocked, rule) for every row of ``pages``; only its id and URL are read.
 
     A rule is a canonical URL, one without query, or a domain, which also blocks the hosts below it. ``rule`` is the
-    first that holds, from the whole URL to the shortest domain. A null or empty URL is not blocked. Repeated rows
+    first that holds, from the whole URL to the shortest domain. A null or empty URL is not blocked. Null ids stay; repeated rows
     are judged alike; with no rules nothing is blocked; an empty table gives no rows.
     """
     digests = DigestArray.build(rules, rule_col)

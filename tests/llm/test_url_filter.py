@@ -47,3 +47,10 @@ def test_shards(spark, monkeypatch):
     assert d.bits == 3
     keys = np.array([r[0] for r in rules(spark, names).select(F.xxhash64("rule")).collect()], np.int64).astype(np.uint64)
     assert d.find(keys, names).tolist() == [i % 2 == 0 for i in range(1000)]
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    rows = [(None, "https://bad.example/x", "h"), (1, "https://bad.example/x", "h"), (1, "https://bad.example/x", "h"), (2, None, "h"), (None, "https://ok.example/", "h")]
+    pages = spark.createDataFrame([(*r, 1, "k", True, "m") for r in rows], "page_id long, url string, html string, keys int, names string, blocked boolean, `a.b` string")
+    got = url_filter.match(pages, rules(spark, ["bad.example"])).collect()
+    assert sorted(((r.page_id, r.blocked, r.rule) for r in got), key=str) == sorted([(None, True, "bad.example"), (1, True, "bad.example"), (1, True, "bad.example"), (2, False, None), (None, False, None)], key=str)
