@@ -1,61 +1,32 @@
 """License scans by diagonal voting.
 
 All runs of k words of every text meet the runs of the templates in a hash join. A hit votes for the diagonal
-(position in the text less position in the template); neighbouring diagonals, between which a word was put in or
-left out, are merged, and a span counts if enough of its words are covered by runs that agree letter by letter.
+(position in the text less position in the template). Votes that follow each other on a diagonal make a stretch;
+stretches of neighbouring diagonals, between which words were put in or left out, are merged if they go on in the
+text and in the template alike, so that a notice that is repeated stays apart. Spans whose words agree well enough
+count, and of overlapping ones the template that explains most words.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table  # noqa: F401
+from .common import BROADCAST_ROWS, col
+from .license_texts import TEMPLATES
 
 K = 3
-#: Diagonals at most this far apart belong to one span.
+#: Diagonals at most this far apart are neighbours, and words at most this many may be changed between two stretches.
 SHIFT = 3
-#: Share of the span's words that must agree, and of the template or, if it is longer, of ``LEAST`` words.
+GAP = 8
+#: Share of the span's words that must agree, and of ``LEAST`` words. A template of fewer words must agree as a whole.
 SHARE = 0.8
 LEAST = 15
 
-TEMPLATES = {
-    "mit-notice": "Released under the MIT License.",
-    "mit-short": "This project is licensed under the terms of the MIT license.",
-    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
-        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
-        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
-        this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
-        "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
-        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
-        with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by
-        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
-        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
-        governing permissions and limitations under the License.""",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
-        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
-        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
-        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
-        details.""",
-    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
-        the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
-        conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
-        list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-        distribution.""",
-    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
-        distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "all-rights-reserved": "All rights reserved.",
-}
-
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits, in lower case."""
@@ -71,29 +42,90 @@ def runs(templates: dict[str, str], k: int) -> list[tuple[str, int, int, str]]:
     return out
 
 
+def stretches(diagonal: int, votes: list[int], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(first word, last word, diagonal, votes) of the votes of a diagonal that are at most ``GAP`` words apart."""
+    out: list[tuple[int, int, int, list[int]]] = []
+    part: list[int] = []
+    for p in sorted(votes):
+        if part and p - part[-1] > GAP + k:
+            out.append((part[0], part[-1] + k - 1, diagonal, part))
+            part = []
+        part.append(p)
+    if part:
+        out.append((part[0], part[-1] + k - 1, diagonal, part))
+    return out
+
+
+def chains(parts: list[tuple[int, int, int, list[int]]], k: int) -> list[list[tuple[int, int, int, list[int]]]]:
+    """Stretches of one template, merged with the nearest one before that they go on from."""
+    out: list[list[tuple[int, int, int, list[int]]]] = []
+    open_: list[list[tuple[int, int, int, list[int]]]] = []
+    for s in sorted(parts, key=lambda s: (s[0], s[2])):
+        open_ = [c for c in open_ if s[0] - c[-1][1] <= GAP + 1]
+        best = None
+        for c in open_:
+            _, last, diagonal, _ = c[-1]
+            ahead, ahead_there = s[0] - last, (s[0] - s[2]) - (last - diagonal)
+            if abs(s[2] - diagonal) <= SHIFT and -k < ahead and -k < ahead_there <= GAP + 1 and s[1] > last and s[1] - s[2] > last - diagonal and (best is None or last > best[-1][1]):
+                best = c
+        if best is None:
+            best = []
+            out.append(best)
+            open_.append(best)
+        best.append(s)
+    return out
+
+
+def spans(votes: list[tuple[str, int, int, list[int]]], k: int) -> list[tuple[str, int, int, int, int]]:
+    """(template, first word, last word, matched words, template words) of a text's votes (template, its words, diagonal, positions)."""
+    by: dict[tuple[str, int], list[tuple[int, int, int, list[int]]]] = {}
+    for name, n, diagonal, positions in votes:
+        by.setdefault((name, n), []).extend(stretches(diagonal, positions, k))
+    found = []
+    for (name, n), parts in by.items():
+        for chain in chains(parts, k):
+            cover = {p + j for s in chain for p in s[3] for j in range(k)}
+            first, last = min(cover), max(cover)
+            need = n if n < LEAST else SHARE * LEAST
+            if len(cover) >= need and len(cover) >= SHARE * (last - first + 1):
+                found.append((name, first, last, len(cover), n))
+    kept: list[tuple[str, int, int, int, int]] = []
+    for s in sorted(found, key=lambda s: (-s[3], -s[3] / s[4], s[0], s[1])):
+        if all(2 * (min(s[2], t[2]) - max(s[1], t[1]) + 1) < s[2] - s[1] + 1 for t in kept):
+            kept.append(s)
+    return sorted(kept, key=lambda s: (s[1], s[0]))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, template, first_word, last_word, matched_words, template_words): where texts hold templates.
 
-    Positions count the text's words (runs of letters and digits) from 0. A span needs ``SHARE`` of its words, and
-    of the template's or of ``LEAST`` if that is fewer, to be in agreeing runs; a template that occurs again gives
-    another span. Null and empty texts and those of fewer than k words have none. Rows with a null id are scanned
-    like any other; rows that repeat an id and a text give their spans once; an empty table gives none.
+    Positions count the text's words (runs of letters and digits) from 0. A span needs ``SHARE`` of its words in
+    agreeing runs, and the whole template if that has fewer than ``LEAST`` words, else ``SHARE`` of ``LEAST``; so a part
+    of a long license is found too, and ``matched_words`` says how much of it. A template that occurs again gives
+    another span. Of spans that share half of their words the one of most matched words stays, on a tie that of the
+    shorter template. Null and empty texts and those of fewer than k words have none, and templates of fewer than k
+    words are never found. Rows with a null id are scanned like any other; rows that repeat an id and a text give their
+    spans once, and an id of several texts the spans of each; other columns play no part; an empty table gives none.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame(runs(TEMPLATES if templates is None else templates, k), "template string, template_words int, at int, run string")
-    clean = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "))
-    split = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.split(clean, " ").alias("w"))
+    library = runs(TEMPLATES if templates is None else templates, k)
+    known = spark.createDataFrame(library, "template string, template_words int, at int, run string").withColumn("key", F.xxhash64("run")).withColumnRenamed("run", "same")
+    clean = F.trim(F.regexp_replace(F.lower(col(text)), r"[^\p{L}\p{N}]+", " "))
+    split = docs.where(col(text).isNotNull()).select(col(id_col).cast("long").alias("doc_id"), F.xxhash64(col(text)).alias("h"), F.split(clean, " ").alias("w"))
     each = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.concat_ws(" ", *[F.get("w", i + j) for j in range(k)]))
     grams = split.where(F.size("w") >= k).select("doc_id", "h", F.posexplode(each).alias("pos", "run"))
-    # the templates are a fixed library of some thousand runs
-    hits = grams.withColumn("key", F.xxhash64("run")).join(F.broadcast(known.withColumn("key", F.xxhash64("run")).withColumnRenamed("run", "same")), "key").where("run = same")
-    hits = hits.withColumn("diagonal", F.col("pos") - F.col("at"))
-    votes = hits.groupBy("doc_id", "h", "template", "template_words", "diagonal").agg(F.collect_set("pos").alias("votes"))
-    order = Window.partitionBy("doc_id", "h", "template").orderBy("diagonal")
-    steps = votes.withColumn("new", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(SHIFT + 1)) > SHIFT).cast("int"))
-    spans = steps.withColumn("span", F.sum("new").over(order)).groupBy("doc_id", "h", "template", "template_words", "span").agg(F.flatten(F.collect_list("votes")).alias("votes"))
-    covered = F.array_distinct(F.flatten(F.transform("votes", lambda p: F.sequence(p, p + (k - 1)))))
-    spans = spans.select("doc_id", "template", "template_words", F.array_min("votes").alias("first_word"), (F.array_max("votes") + (k - 1)).alias("last_word"), F.size(covered).alias("matched_words"))
-    need = F.least(F.col("template_words"), F.lit(LEAST)) * SHARE
-    ok = (F.col("matched_words") >= need) & (F.col("matched_words") >= SHARE * (F.col("last_word") - F.col("first_word") + 1))
-    return spans.where(ok).select("doc_id", "template", "first_word", "last_word", "matched_words", "template_words").distinct()
+    hits = grams.withColumn("key", F.xxhash64("run")).join(F.broadcast(known) if len(library) <= BROADCAST_ROWS else known, "key").where("run = same")
+    votes = hits.groupBy("doc_id", "h", "template", "template_words", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("pos").alias("votes"))
+    by_text = votes.groupBy("doc_id", "h").agg(F.collect_list(F.struct("template", "template_words", "diagonal", "votes")).alias("votes"))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc_id, votes in zip(b["doc_id"], b["votes"]):
+                given = [(v["template"], v["template_words"], v["diagonal"], v["votes"].tolist()) for v in votes]
+                out += [(None if pd.isna(doc_id) else int(doc_id), *s) for s in spans(given, k)]
+            frame = pd.DataFrame(out, columns=["doc_id", "template", "first_word", "last_word", "matched_words", "template_words"])
+            yield frame.astype({"doc_id": "Int64"})
+
+    schema = "doc_id long, template string, first_word int, last_word int, matched_words int, template_words int"
+    return by_text.select("doc_id", "votes").mapInPandas(find, schema)
