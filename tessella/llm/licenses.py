@@ -10,6 +10,7 @@ count, and of overlapping ones the template that explains most words.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,9 +24,11 @@ K = 3
 #: Diagonals at most this far apart are neighbours, and words at most this many may be changed between two stretches.
 SHIFT = 3
 GAP = 8
-#: Share of the span's words that must agree, and of ``LEAST`` words. A template of fewer words must agree as a whole.
+#: Share of the span's words that must agree, and of the template's or of ``LEAST`` if that is fewer.
 SHARE = 0.8
 LEAST = 15
+#: Words that at most this share of the short templates (of fewer than ``LEAST`` words) have tell them apart.
+TELLING = 0.25
 
 
 def words(text: str) -> list[str]:
@@ -42,6 +45,13 @@ def runs(templates: dict[str, str], k: int) -> list[tuple[str, int, int, str]]:
     return out
 
 
+def telling(templates: dict[str, str]) -> dict[str, list[int]]:
+    """Positions in each short template that have to agree: numbers, and words that few of the short templates have."""
+    short = {n: w for n, t in templates.items() if len(w := words(t)) < LEAST}
+    having = Counter(x for w in short.values() for x in set(w))
+    return {n: [i for i, x in enumerate(w) if x.isdigit() or having[x] <= TELLING * len(short)] for n, w in short.items()}
+
+
 def stretches(diagonal: int, votes: list[int], k: int) -> list[tuple[int, int, int, list[int]]]:
     """(first word, last word, diagonal, votes) of the votes of a diagonal that are at most ``GAP`` words apart."""
     out: list[tuple[int, int, int, list[int]]] = []
@@ -76,8 +86,11 @@ def chains(parts: list[tuple[int, int, int, list[int]]], k: int) -> list[list[tu
     return out
 
 
-def spans(votes: list[tuple[str, int, int, list[int]]], k: int) -> list[tuple[str, int, int, int, int]]:
-    """(template, first word, last word, matched words, template words) of a text's votes (template, its words, diagonal, positions)."""
+def spans(votes: list[tuple[str, int, int, list[int]]], k: int, tell: dict[str, list[int]]) -> list[tuple[str, int, int, int, int]]:
+    """(template, first word, last word, matched words, template words) of a text's votes (template, its words, diagonal, positions).
+
+    ``tell``: positions in templates that have to agree.
+    """
     by: dict[tuple[str, int], list[tuple[int, int, int, list[int]]]] = {}
     for name, n, diagonal, positions in votes:
         by.setdefault((name, n), []).extend(stretches(diagonal, positions, k))
@@ -86,8 +99,8 @@ def spans(votes: list[tuple[str, int, int, list[int]]], k: int) -> list[tuple[st
         for chain in chains(parts, k):
             cover = {p + j for s in chain for p in s[3] for j in range(k)}
             first, last = min(cover), max(cover)
-            need = n if n < LEAST else SHARE * LEAST
-            if len(cover) >= need and len(cover) >= SHARE * (last - first + 1):
+            enough = len(cover) >= SHARE * min(n, LEAST) and len(cover) >= SHARE * (last - first + 1)
+            if enough and (name not in tell or {p - s[2] + j for s in chain for p in s[3] for j in range(k)}.issuperset(tell[name])):
                 found.append((name, first, last, len(cover), n))
     kept: list[tuple[str, int, int, int, int]] = []
     for s in sorted(found, key=lambda s: (-s[3], -s[3] / s[4], s[0], s[1])):
@@ -100,15 +113,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, i
     """(doc_id, template, first_word, last_word, matched_words, template_words): where texts hold templates.
 
     Positions count the text's words (runs of letters and digits) from 0. A span needs ``SHARE`` of its words in
-    agreeing runs, and the whole template if that has fewer than ``LEAST`` words, else ``SHARE`` of ``LEAST``; so a part
-    of a long license is found too, and ``matched_words`` says how much of it. A template that occurs again gives
+    agreeing runs, and of the template's or of ``LEAST`` if that is fewer; so a part of a long license is found too, and
+    ``matched_words`` says how much of it. Of a template of fewer than ``LEAST`` words, numbers and the words that few of
+    such templates have must all agree, so that no version stands for another. A template that occurs again gives
     another span. Of spans that share half of their words the one of most matched words stays, on a tie that of the
     shorter template. Null and empty texts and those of fewer than k words have none, and templates of fewer than k
     words are never found. Rows with a null id are scanned like any other; rows that repeat an id and a text give their
     spans once, and an id of several texts the spans of each; other columns play no part; an empty table gives none.
     """
     spark = docs.sparkSession
-    library = runs(TEMPLATES if templates is None else templates, k)
+    templates = TEMPLATES if templates is None else templates
+    library, tell = runs(templates, k), telling(templates)
     known = spark.createDataFrame(library, "template string, template_words int, at int, run string").withColumn("key", F.xxhash64("run")).withColumnRenamed("run", "same")
     clean = F.trim(F.regexp_replace(F.lower(col(text)), r"[^\p{L}\p{N}]+", " "))
     split = docs.where(col(text).isNotNull()).select(col(id_col).cast("long").alias("doc_id"), F.xxhash64(col(text)).alias("h"), F.split(clean, " ").alias("w"))
@@ -123,7 +138,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, i
             out = []
             for doc_id, votes in zip(b["doc_id"], b["votes"]):
                 given = [(v["template"], v["template_words"], v["diagonal"], v["votes"].tolist()) for v in votes]
-                out += [(None if pd.isna(doc_id) else int(doc_id), *s) for s in spans(given, k)]
+                out += [(None if pd.isna(doc_id) else int(doc_id), *s) for s in spans(given, k, tell)]
             frame = pd.DataFrame(out, columns=["doc_id", "template", "first_word", "last_word", "matched_words", "template_words"])
             yield frame.astype({"doc_id": "Int64"})
 

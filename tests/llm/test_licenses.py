@@ -17,7 +17,7 @@ def found(spark, rows, **kw):
     return {(r.doc_id, r.template, r.first_word, r.last_word) for r in licenses.scan(make(spark, rows), **kw).collect()}
 
 
-def aligned(text, template):
+def aligned(text, template, must):
     """(first, last, matched) of the places where a template stands in a text, by longest common blocks: no votes, no diagonals."""
     w, out = list(text), []
     while True:
@@ -33,7 +33,8 @@ def aligned(text, template):
             return out
         for g in groups:
             first, last, n = g[0].a, g[-1].a + g[-1].size - 1, sum(b.size for b in g)
-            if n >= (len(template) if len(template) < licenses.LEAST else licenses.SHARE * licenses.LEAST) and n >= licenses.SHARE * (last - first + 1):
+            same = {b.b + j for b in g for j in range(b.size)}
+            if n >= licenses.SHARE * min(len(template), licenses.LEAST) and n >= licenses.SHARE * (last - first + 1) and must <= same:
                 out.append((first, last, n))
             for b in g:
                 w[b.a : b.a + b.size] = [None] * b.size
@@ -41,9 +42,11 @@ def aligned(text, template):
 
 def independent(rows, templates):
     out = set()
+    short = [set(licenses.words(t)) for t in templates.values() if len(licenses.words(t)) < licenses.LEAST]
+    must = {n: {i for i, x in enumerate(w) if x.isdigit() or sum(x in s for s in short) <= len(short) / 4} if len(w) < licenses.LEAST else set() for n, t in templates.items() for w in [licenses.words(t)]}
     for i, text in rows:
         w = licenses.words(text or "")
-        cands = [(-n, -n / len(t), name, a, b) for name, full in templates.items() for t in [licenses.words(full)] if set(t) & set(w) for a, b, n in aligned(w, t)]
+        cands = [(-n, -n / len(t), name, a, b) for name, full in templates.items() for t in [licenses.words(full)] if set(t) & set(w) for a, b, n in aligned(w, t, must[name])]
         kept = []
         for _, _, name, a, b in sorted(cands):
             if all(2 * len(set(range(a, b + 1)) & set(range(c, d + 1))) < b - a + 1 for _, c, d in kept):
@@ -92,8 +95,10 @@ def test_versions_and_variants_are_not_mixed_up(spark):
         (5, "Licensed under CC BY 4.0."),
         (6, TEMPLATES["gpl-2.0"]),
         (7, TEMPLATES["lgpl-3.0"]),
+        (8, "That code is licensed under the GNU General Public License, version 3."),
+        (9, "Released under the ABC License. All lefts reserved."),
     ]
-    assert {(i, t) for i, t, _, _ in found(spark, rows)} == {(1, "gpl-2.0-notice"), (3, "cc-by-sa-4.0"), (4, "cc-by-nc-4.0-notice"), (5, "cc-by-4.0-notice"), (6, "gpl-2.0"), (7, "lgpl-3.0")}
+    assert {(i, t) for i, t, _, _ in found(spark, rows)} == {(1, "gpl-2.0-notice"), (3, "cc-by-sa-4.0"), (4, "cc-by-nc-4.0-notice"), (5, "cc-by-4.0-notice"), (6, "gpl-2.0"), (7, "lgpl-3.0"), (8, "gpl-3.0-notice")}
 
 
 def test_repeated_notices_stay_apart(spark):
