@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -69,15 +70,15 @@ def significant(value: Column, digits: int) -> Column:
     return F.when(value == 0, 0.0).otherwise(F.rint(value * scale) / scale)
 
 
-def betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The regularised incomplete beta function by its continued fraction."""
+def betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray, log: bool = False) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction, or its logarithm, which does not run out of range."""
     a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
     lg = np.vectorize(math.lgamma, otypes=[float])
     x = np.clip(x, 0.0, 1.0)
     swap = x > (a + 1) / (a + b + 2)
     p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
     with np.errstate(all="ignore"):
-        front = np.exp(lg(p + q) - lg(p) - lg(q) + p * np.log(z) + q * np.log1p(-z)) / p
+        front = lg(p + q) - lg(p) - lg(q) + p * np.log(z) + q * np.log1p(-z) - np.log(p)
         tiny = 1e-300
         f, c, d = np.ones_like(z), np.ones_like(z), np.zeros_like(z)
         for i in range(400):
@@ -94,8 +95,23 @@ def betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             f = f * step
             if np.nanmax(np.abs(step - 1), initial=0) < 1e-14:
                 break
-        value = np.where(z <= 0, 0.0, front * (f - 1))
-    return np.where(swap, 1 - value, value)
+        logs = np.where(z <= 0, -np.inf, front + np.log(f - 1))
+        if log:
+            return np.where(swap, np.log1p(-np.exp(logs)), logs)
+        return np.where(swap, 1 - np.exp(logs), np.exp(logs))
+
+
+def f_log_tail(x: np.ndarray, n: float, m: float) -> np.ndarray:
+    """Logarithm of the upper tail of the F distribution."""
+    return betainc(m / 2, n / 2, m / (m + n * np.asarray(x, float)), log=True)
+
+
+def chi2_quantile(tail: np.ndarray, df: float) -> np.ndarray:
+    """Where the upper tail of chi-squared is ``tail``, by the normal approximation of the cube root; infinite for a tail of 0."""
+    normal = NormalDist().inv_cdf
+    z = np.array([np.inf if t <= 0 else -np.inf if t >= 1 else -normal(t) for t in np.asarray(tail, float)])
+    c = 2 / (9 * df)
+    return df * np.maximum(1 - c + z * math.sqrt(c), 0) ** 3
 
 
 def t_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -115,6 +131,34 @@ def normal_tail(z: np.ndarray) -> np.ndarray:
     return np.vectorize(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else math.nan, otypes=[float])(z)
 
 
+#: Rows up to which order statistics come from one histogram of all values; of more, only a bracket is looked at exactly.
+HISTOGRAM = 1_000_000
+
+
+def order_statistics(df: DataFrame, value: str, ranks: list[int], n: int) -> list:
+    """The values of the given ranks, from 1, of a column of ``n`` values without nulls."""
+
+    def exact(rows: DataFrame, wanted: list[int], size: int) -> list:
+        # percentile_disc takes the least value that at least the share p of all don't exceed: of rank ceil(p n)
+        parts = [F.expr(f"percentile_disc({(r - 0.5) / size!r}) within group (order by __v)").alias(f"r{i}") for i, r in enumerate(wanted)]
+        return list(rows.agg(*parts).first())
+
+    rows = df.select(F.col(value).alias("__v"))
+    if n <= HISTOGRAM:
+        return exact(rows, ranks, n)
+    out = []
+    shares = [s for r in ranks for s in (max(r / n - 3e-4, 0.0), min(r / n + 3e-4, 1.0))]
+    ends = rows.agg(F.percentile_approx("__v", shares, F.lit(10_000))).first()[0]
+    for i, r in enumerate(ranks):
+        lo, hi = ends[2 * i], ends[2 * i + 1]
+        below = rows.where(F.col("__v") < lo).count()
+        inside = rows.where(F.col("__v").between(lo, hi))
+        size = inside.count()
+        # the approximation's error is a third of the bracket; should it be larger, all values are looked at
+        out += exact(inside, [r - below], size) if 0 < r - below <= size else exact(rows, [r], n)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_tail(t.to_numpy(float), df.to_numpy(float))).where(lambda p: p.notna(), None)

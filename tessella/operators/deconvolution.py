@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.solvers import cluster_correlation, nmf, principal_components, silhouette, solve_fractions
+from ..functions.solvers import cluster_correlation, dispersion, nmf, principal_components, silhouette, solve_fractions
 from ..functions.stats import bh_adjust, correlation_pvalue, normal_pvalue, pearson, significant, t_pvalue, wilcoxon
-from ..model import hash_order, ratio
+from ..model import cut, hash_order, ratio, small
 from .expression import clip_min_max, cpm, cpm_log2_center, gene_means
 
 UNKNOWN = "Unidentifiable"
@@ -35,41 +35,69 @@ def signature_correlation(expr: DataFrame, signature: DataFrame, cells: DataFram
 
 
 def cluster_stats(cells: DataFrame, correlations: DataFrame, depth: DataFrame) -> DataFrame:
-    """(cluster, n, mean_r, p, share_significant, depth_gap) of clustered cells (cell_id, cluster) and whether a cluster is malignant."""
-    x = cells.join(correlations, "cell_id").join(depth.select("cell_id", "umi"), "cell_id")
-    all_ = x.agg(F.avg("umi").alias("umi_all"))
-    agg = x.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("r").alias("mean_r"), F.avg(((F.col("r") > 0) & (F.col("p_adj") < 0.25)).cast("double")).alias("share_significant"), F.avg("umi").alias("umi"))
-    w = wilcoxon(x, ["cluster"], "r").select("cluster", (normal_pvalue(F.greatest("z", F.lit(0.0))) / 2).alias("p"))
-    out = agg.join(w, "cluster", "left").crossJoin(F.broadcast(all_)).withColumn("depth_gap", F.col("umi") - F.col("umi_all"))
-    rule = (F.col("mean_r") > 0) & (F.col("p") < 0.05) & (F.col("share_significant") >= 0.4) & (F.col("depth_gap") > 0)
-    return out.select("cluster", "n", "mean_r", "p", "share_significant", "depth_gap", F.coalesce(rule, F.lit(False)).alias("malignant"))
+    """(cluster, n, mean_r, z, p, share_significant, depth_gap, malignant) of clustered cells (cell_id, cluster).
 
+    Depth is the number of genes that a cell has. A cluster is malignant if it is deeper than all cells together, its
+    mean correlation is above 0, by the signed-rank test as well (p < 0.05), and its share of significant cells (r > 0,
+    adjusted p < 0.25) is at least that of all cells. ``z`` and ``p`` are of the normal approximation.
+    """
+    x = cells.join(correlations, "cell_id").join(depth.select("cell_id", "genes"), "cell_id")
+    x = x.withColumn("sure", ((F.col("r") > 0) & (F.col("p_adj") < 0.25)).cast("double"))
+    all_ = x.agg(F.avg("genes").alias("genes_all"), F.avg("sure").alias("sure_all"))
+    agg = x.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("r").alias("mean_r"), F.avg("sure").alias("share_significant"), F.avg("genes").alias("genes"))
+    half = normal_pvalue(F.col("z")) / 2
+    w = wilcoxon(x, ["cluster"], "r").select("cluster", "z", F.when(F.col("z") > 0, half).otherwise(1 - half).alias("p"))
+    out = agg.join(w, "cluster", "left").crossJoin(F.broadcast(all_)).withColumn("depth_gap", F.col("genes") - F.col("genes_all"))
+    out = out.withColumns({"z": F.coalesce("z", F.lit(0.0)), "p": F.coalesce("p", F.lit(1.0))})
+    # means of the same share may differ in the last bit
+    rule = (F.col("mean_r") > 0) & (F.col("p") < 0.05) & (F.col("share_significant") >= F.col("sure_all") - 1e-12) & (F.col("depth_gap") > 0)
+    return out.select("cluster", "n", "mean_r", "z", "p", "share_significant", "depth_gap", rule.alias("malignant"))
+
+
+def malignant_fraction(correlations: DataFrame, at: int | None = None) -> DataFrame:
+    """(cell_id, fraction): the correlation clipped at its ``at``-th, or at a twentieth of the cells, from either end and stretched to [0, 1]."""
+    return clip_min_max(correlations.select("cell_id", F.col("r").alias("fraction")), "fraction", at=at)
 
-def malignant_fraction(correlations: DataFrame) -> DataFrame:
-    """(cell_id, fraction): the correlation clipped at its 5th from either end and stretched to [0, 1]."""
-    return clip_min_max(correlations.select("cell_id", F.col("r").alias("fraction")), "fraction")
 
+def correlation_with(dense: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(cell_id, r): Pearson of every cell's centred values with the mean of those of the chosen cells; 0 for a constant cell."""
+    profile = dense.join(chosen, "cell_id", "left_semi").groupBy("gene_id").agg(F.avg("value").alias("w"))
+    return dense.join(profile, "gene_id").groupBy("cell_id").agg(F.coalesce(pearson("value", "w"), F.lit(0.0)).alias("r"))
 
-def cluster_cells(expr: DataFrame, cells: DataFrame, n_genes: int = 1000, n_pcs: int = 30, most_cells: int = 20_000, choose: str = "drop") -> DataFrame:
-    """(cell_id, cluster): the most over-dispersed genes, log10, principal components, Ward on correlation distance.
 
-    Over-dispersion is the residual of log variance against a quadratic in log mean. Clustering holds a matrix of
-    all distances, so it is for at most ``most_cells`` cells, on one task; more are an error, not a sample.
+def over_dispersed(expr: DataFrame, cells: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(gene_id, scale, over) of the genes that vary: the factor that evens their variance out, and whether they vary more than their mean lets expect.
+
+    Log variance is fitted by a penalised spline in log mean; what is left has an F distribution of as many degrees of
+    freedom as there are cells, and its tail is adjusted by Benjamini-Hochberg. The moments are computed in one
+    aggregation; the fit is on one task and holds a row for each gene.
     """
-    if cells.count() > most_cells:
-        raise ValueError(f"clustering is for at most {most_cells} cells")
-    stats = gene_means(cpm(expr), cells).where("mean > 0 and var_samp > 0").toPandas()
-    m, v = np.log(stats["mean"]), np.log(stats["var_samp"])
-    fit = np.polyval(np.polyfit(m, v, min(2, max(0, len(m) - 1))), m)
-    top = stats.assign(gap=v - fit).sort_values(["gap", "gene_id"], ascending=[False, True]).head(n_genes)[["gene_id"]]
-    spark = expr.sparkSession
-    picked = cpm(expr).join(F.broadcast(spark.createDataFrame(top)), "gene_id", "left_semi").select("cell_id", "gene_id", F.log10(F.col("value") + 1).alias("value"))
+    stats = gene_means(expr, cells).join(expr.select("gene_id").distinct().agg(F.count("*").alias("all_genes")))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("gene_id")
+        scale, over = dispersion(pdf["mean"].to_numpy(), pdf["var_samp"].to_numpy(), int(pdf["n"].iloc[0]), int(pdf["all_genes"].iloc[0]), alpha)
+        return pd.DataFrame({"gene_id": pdf["gene_id"], "scale": scale, "over": over})
+
+    return stats.where("mean > 0 and var_samp > 1e-12").groupBy(F.lit("all")).applyInPandas(fit, "gene_id long, scale double, over boolean")
+
+
+def cluster_cells(expr: DataFrame, cells: DataFrame, n_pcs: int = 30, choose: str = "drop", alpha: float = 0.05) -> DataFrame:
+    """(cell_id, cluster): over-dispersed genes of evened variance, log10, principal components, Ward on correlation distance.
+
+    Without an over-dispersed gene all are taken. The clustering is one piece of work on one task, which holds a matrix
+    of all distances: 8 bytes for each pair of cells.
+    """
+    genes = cut(over_dispersed(expr, cells, alpha))
+    some = genes.where("over")
+    some = genes if some.isEmpty() else some
+    picked = expr.join(small(some), "gene_id").select("cell_id", "gene_id", F.log10(F.col("value") * F.col("scale") + 1).alias("value"))
     padded = cells.select("cell_id").join(picked, "cell_id", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="cell_id", columns="gene_id", values="value", fill_value=0.0, dropna=True).sort_index()
         wide = wide.reindex(sorted(pdf["cell_id"].unique()), fill_value=0.0)
-        scores = principal_components(wide.to_numpy(), min(n_pcs, min(wide.shape)))
+        scores = principal_components(wide.to_numpy(), min(n_pcs, max(1, wide.shape[1] - 1), len(wide)))
         return pd.DataFrame({"cell_id": wide.index, "cluster": cluster_correlation(scores, choose).astype("int32")})
 
     return padded.groupBy(F.lit("all")).applyInPandas(run, "cell_id long, cluster int")
@@ -90,29 +118,70 @@ def generate_reference(expr: DataFrame, annotation: DataFrame, lineage: DataFram
     return cpm(expr, scale).join(both, "cell_id").groupBy("gene_id", "cell_type").agg(F.sum("value").alias("s")).join(F.broadcast(n), "cell_type").select("gene_id", "cell_type", (F.col("s") / F.col("n")).alias("value"))
 
 
-def welch_markers(expr: DataFrame, groups: DataFrame, a: str, b: str | None = None, top: int = 500, least_fc: float = 0.25, fdr: float = 0.01) -> DataFrame:
-    """(gene_id, log_fc, t, p, p_adj) of group ``a`` against ``b`` or all others (cell_id, group), from sums that count implicit zeros.
+def _moments(expr: DataFrame, by: list[str]) -> DataFrame:
+    return expr.groupBy(*by, "gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+
+
+def _welch(tests: DataFrame, top: int, least_fc: float, fdr: float) -> DataFrame:
+    """(cell_type, other, gene_id, log_fc, t, p, p_adj) of tests (cell_type, other, gene_id, na, sa, qa, nb, sb, qb) from sums that count implicit zeros.
 
-    The ``top`` genes by t are adjusted among themselves and kept above the fold change and under the rate.
+    Of each comparison the ``top`` genes by t are adjusted among themselves and kept above the fold change and under
+    the rate. Without spread t is 0, as published; sides of fewer than two cells have no markers.
     """
+    ma, mb = F.col("sa") / F.col("na"), F.col("sb") / F.col("nb")
+    va = F.greatest((F.col("qa") - F.col("na") * ma * ma) / (F.col("na") - 1), F.lit(0.0)) / F.col("na")
+    vb = F.greatest((F.col("qb") - F.col("nb") * mb * mb) / (F.col("nb") - 1), F.lit(0.0)) / F.col("nb")
+    spread = F.sqrt(va + vb)
+    df = F.greatest(F.coalesce(F.try_divide((va + vb) * (va + vb), va * va / (F.col("na") - 1) + vb * vb / (F.col("nb") - 1)), F.lit(1.0)), F.lit(1.0))
+    key = ["cell_type", "other"]
+    t = tests.where("na > 1 and nb > 1").select(*key, "gene_id", (ma - mb).alias("log_fc"), F.when(spread > 1e-12, (ma - mb) / spread).otherwise(0.0).alias("t"), df.alias("df"))
+    first = t.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("t"), "gene_id"))).where(F.col("rn") <= top)
+    out = bh_adjust(first.withColumn("p", t_pvalue("t", "df")), "p", key)
+    return out.where((F.col("log_fc") > least_fc) & (F.col("p_adj") < fdr)).select(*key, "gene_id", "log_fc", "t", "p", "p_adj")
+
+
+def welch_markers(expr: DataFrame, groups: DataFrame, a: str, b: str | None = None, top: int = 500, least_fc: float = 0.25, fdr: float = 0.01) -> DataFrame:
+    """(gene_id, log_fc, t, p, p_adj) of group ``a`` against ``b`` or all others (cell_id, group), by Welch's test."""
     g = groups.withColumn("side", F.when(F.col("group") == a, 1).when(F.lit(b is None) | (F.col("group") == F.lit(b)), 0)).where("side is not null")
     n = g.agg(F.sum("side").alias("na"), F.sum(1 - F.col("side")).alias("nb"))
-    x = expr.join(g.select("cell_id", "side"), "cell_id")
-    s = x.groupBy("gene_id").agg(*[F.coalesce(F.sum(F.when(F.col("side") == k, e)), F.lit(0.0)).alias(c) for k, e, c in ((1, F.col("value"), "sa"), (1, F.col("value") * F.col("value"), "qa"), (0, F.col("value"), "sb"), (0, F.col("value") * F.col("value"), "qb"))])
-    s = s.crossJoin(F.broadcast(n))
-    ma, mb = F.col("sa") / F.col("na"), F.col("sb") / F.col("nb")
-    va = F.greatest(ratio(F.col("qa") - F.col("na") * ma * ma, F.col("na") - 1), F.lit(0.0)) / F.col("na")
-    vb = F.greatest(ratio(F.col("qb") - F.col("nb") * mb * mb, F.col("nb") - 1), F.lit(0.0)) / F.col("nb")
-    df = F.try_divide((va + vb) * (va + vb), ratio(va * va, F.col("na") - 1) + ratio(vb * vb, F.col("nb") - 1))
-    t = s.select("gene_id", (ma - mb).alias("log_fc"), F.try_divide(ma - mb, F.sqrt(va + vb)).alias("t"), df.alias("df")).where("t is not null")
-    first = t.withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("t"), "gene_id"))).where(F.col("rn") <= top)
-    out = bh_adjust(first.withColumn("p", t_pvalue("t", "df")), "p")
-    return out.where((F.col("log_fc") > least_fc) & (F.col("p_adj") < fdr)).select("gene_id", "log_fc", "t", "p", "p_adj")
+    m = _moments(expr.join(g.select("cell_id", "side"), "cell_id"), ["side"])
+    side = lambda k, c: F.coalesce(F.sum(F.when(F.col("side") == k, F.col(c))), F.lit(0.0))
+    s = m.groupBy("gene_id").agg(side(1, "s").alias("sa"), side(1, "q").alias("qa"), side(0, "s").alias("sb"), side(0, "q").alias("qb")).crossJoin(F.broadcast(n))
+    return _welch(s.withColumns({"cell_type": F.lit(a), "other": F.lit(b or "")}), top, least_fc, fdr).drop("cell_type", "other")
 
 
-def vote_markers(markers: DataFrame, least: int) -> DataFrame:
-    """(cell_type, gene_id) of genes that are markers in at least ``least`` comparisons (cell_type, other, gene_id)."""
-    return markers.groupBy("cell_type", "gene_id").agg(F.count_distinct("other").alias("n")).where(F.col("n") >= least).select("cell_type", "gene_id")
+def reference_markers(logged: DataFrame, annotation: DataFrame, lineage: DataFrame, top: int = 500, least_fc: float = 0.25, fdr: float = 0.01) -> DataFrame:
+    """(cell_type, gene_id): what tells a lineage from every other one, and a subtype from all its siblings together.
+
+    ``logged``: log expression; ``annotation``: (cell_id, sub); ``lineage``: (major, sub). One aggregation by subtype and
+    gene gives the sums of all sides of all comparisons. A lineage of one subtype of its own name is not parted.
+    """
+    tree = lineage.select("major", "sub").distinct()
+    who = annotation.join(F.broadcast(tree), "sub").select("cell_id", "major", "sub")  # as many rows as there are types
+    by_sub = cut(_moments(logged.join(who, "cell_id"), ["major", "sub"]))
+    n_sub = who.groupBy("major", "sub").agg(F.count_distinct("cell_id").alias("n"))
+    by_major, n_major = by_sub.groupBy("major", "gene_id").agg(F.sum("s").alias("s"), F.sum("q").alias("q")), n_sub.groupBy("major").agg(F.sum("n").alias("n"))
+    genes = by_sub.select("gene_id").distinct()
+
+    def ends(n: DataFrame, sums: DataFrame, name: str, c: str) -> tuple[DataFrame, DataFrame]:
+        return n.select(F.col(name).alias(c), F.col("n").alias(f"n_{c}")), sums.select(F.col(name).alias(c), "gene_id", F.col("s").alias(f"s_{c}"), F.col("q").alias(f"q_{c}"))
+
+    (na, sa), (nb, sb) = ends(n_major, by_major, "major", "cell_type"), ends(n_major, by_major, "major", "other")
+    sums = lambda a, b: {k: F.coalesce(F.col(v), F.lit(0.0)) for k, v in (("sa", f"s_{a}"), ("qa", f"q_{a}"), ("sb", f"s_{b}"), ("qb", f"q_{b}"))}
+    majors = na.crossJoin(nb).where("cell_type <> other").crossJoin(genes).join(sa, ["cell_type", "gene_id"], "left").join(sb, ["other", "gene_id"], "left")
+    majors = majors.withColumns({"na": F.col("n_cell_type"), "nb": F.col("n_other"), **sums("cell_type", "other")})
+    others = n_major.agg((F.count("*") - 1).alias("least"))
+    voted = vote_markers(_welch(majors, top, least_fc, fdr).crossJoin(F.broadcast(others)))
+    whole = n_major.select("major", F.col("n").alias("n_all")).crossJoin(genes).join(by_major.select("major", "gene_id", F.col("s").alias("s_all"), F.col("q").alias("q_all")), ["major", "gene_id"], "left")
+    subs = n_sub.join(whole, "major").join(by_sub, ["major", "sub", "gene_id"], "left").fillna(0.0, ["s", "q", "s_all", "q_all"]).where("sub <> major")
+    subs = subs.select(F.col("sub").alias("cell_type"), F.lit("").alias("other"), "gene_id", F.col("n").alias("na"), F.col("s").alias("sa"), F.col("q").alias("qa"), (F.col("n_all") - F.col("n")).alias("nb"), (F.col("s_all") - F.col("s")).alias("sb"), (F.col("q_all") - F.col("q")).alias("qb"))
+    return voted.unionByName(_welch(subs, top, least_fc, fdr).select("cell_type", "gene_id"))
+
+
+def vote_markers(markers: DataFrame, least: int | None = None) -> DataFrame:
+    """(cell_type, gene_id) of genes that are markers in at least ``least`` comparisons (cell_type, other, gene_id); without a number, its column counts."""
+    n = F.count_distinct("other")
+    return markers.groupBy("cell_type", "gene_id").agg(n.alias("n"), (F.max("least") if least is None else F.lit(least)).alias("need")).where("n >= need").select("cell_type", "gene_id")
 
 
 def validate_reference(expr: DataFrame, annotation: DataFrame, lineage: DataFrame) -> None:
@@ -211,23 +280,26 @@ def malignant_states(expr: DataFrame, cells: DataFrame, fractions: DataFrame, cu
     return cluster_cells(expr.join(chosen, "cell_id", "left_semi"), cells.join(chosen, "cell_id", "left_semi"), choose="best")
 
 
-def signaling_patterns(activity: DataFrame, k: int | list[int], rounds: int = 500, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def signaling_patterns(activity: DataFrame, k: int | list[int], rounds: int = 500) -> tuple[DataFrame, DataFrame]:
     """(cell weights, protein weights) of NMF of the activity clipped at 0; of several ``k`` the one of the best silhouette.
 
-    The factors depend on where they start. It runs on one task and holds the whole matrix of kept proteins.
+    Proteins are labelled by their heaviest pattern, and the silhouette is that of the labels over the proteins' clipped
+    activities; the first k of the largest value wins, one label counts 0. The factors start from the singular vectors,
+    so they don't depend on chance. It runs on one task and holds the matrix of kept proteins and cells.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="protein", columns="cell_id", values="v", fill_value=0.0).sort_index()
         v = wide.to_numpy()
+        size = (v * v).sum(axis=1)
+        d = np.sqrt(np.maximum(size[:, None] + size[None, :] - 2 * v @ v.T, 0))
+        np.fill_diagonal(d, 0.0)
         best = None
         for n in [k] if isinstance(k, int) else k:
-            w, h = nmf(v, n, rounds, seed)
-            own = h.argmax(axis=0)
-            used = np.unique(own)
-            d = np.sqrt(np.maximum(((h.T[:, None, :200] - h.T[None, :, :200]) ** 2).sum(-1), 0)) if h.shape[1] <= 2000 else np.zeros((1, 1))
-            s = silhouette(d, np.searchsorted(used, own)) if len(used) > 1 and len(d) > 1 else -1.0
-            if best is None or s > best[0]:
+            w, h = nmf(v, n, rounds)
+            used, own = np.unique(w.argmax(axis=1), return_inverse=True)
+            s = silhouette(d, own) if len(used) > 1 else 0.0
+            if best is None or s > best[0] + 1e-12:
                 best = (s, w, h)
         _, w, h = best
         a = pd.DataFrame({"kind": "protein", "name": np.repeat(wide.index.astype(str), w.shape[1]), "pattern": np.tile(np.arange(w.shape[1]), len(w)), "weight": w.ravel()})
@@ -237,4 +309,3 @@ def signaling_patterns(activity: DataFrame, k: int | list[int], rounds: int = 50
     clipped = activity.select("cell_id", "protein", F.greatest("zscore", F.lit(0.0)).alias("v"))
     both = clipped.groupBy(F.lit("all")).applyInPandas(run, "kind string, name string, pattern int, weight double")
     return both.where("kind = 'cell'").select(F.col("name").cast("long").alias("cell_id"), "pattern", "weight"), both.where("kind = 'protein'").select(F.col("name").alias("gene"), "pattern", "weight")
-

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import order_statistics
 from ..model import ratio
 
 
@@ -113,12 +114,15 @@ def scaled_feature(expr: DataFrame, scale: str) -> DataFrame:
     raise ValueError(f"no scale {scale!r}")
 
 
-def clip_min_max(df: DataFrame, value: str, share: float = 0.05) -> DataFrame:
-    """``value`` clipped to the k-th least and k-th largest, k = max(1, share n rounded half to even), then stretched to [0, 1]; constant gives 0."""
-    n = df.agg(F.greatest(F.bround(F.count("*") * F.lit(share)), F.lit(1)).cast("int").alias("k"))
-    up = Window.partitionBy(F.lit(1)).orderBy(value)
-    down = Window.partitionBy(F.lit(1)).orderBy(F.desc(value))
-    ranked = df.select(F.col(value).alias("v"), F.row_number().over(up).alias("i"), F.row_number().over(down).alias("j")).crossJoin(F.broadcast(n))
-    bounds = ranked.agg(F.max(F.when(F.col("i") == F.col("k"), F.col("v"))).alias("__lo"), F.max(F.when(F.col("j") == F.col("k"), F.col("v"))).alias("__hi"))
-    clipped = F.greatest(F.least(F.col(value), F.col("__hi")), F.col("__lo"))
-    return df.crossJoin(F.broadcast(bounds)).withColumn(value, ratio(clipped - F.col("__lo"), F.col("__hi") - F.col("__lo"))).drop("__lo", "__hi")
+def clip_min_max(df: DataFrame, value: str, share: float = 0.05, at: int | None = None) -> DataFrame:
+    """``value`` clipped to the k-th least and k-th largest, then stretched to [0, 1]; constant gives 0.
+
+    k is ``at``, but at most the number of rows, or max(1, share n rounded half to even).
+    """
+    known = df.where(F.col(value).isNotNull())
+    n = known.count()
+    if not n:
+        return df
+    k = max(1, round(share * n)) if at is None else min(at, n)
+    lo, hi = (F.lit(v) for v in order_statistics(known, value, [k, n - k + 1], n))
+    return df.withColumn(value, ratio(F.greatest(F.least(F.col(value), hi), lo) - lo, hi - lo))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import pearson
 from ..model import cut
 from ..operators import deconvolution as d
-from ..operators.expression import clip_min_max, cpm_log2_center, expressed, quality_control
+from ..operators.expression import cpm_log2_center, expressed, log2_tpm, quality_control
 
 #: Spots from which the malignant part comes from two rounds of correlation in place of clusters.
 LARGE = 20_000
@@ -16,8 +15,8 @@ LARGE = 20_000
 
 def malignant_by_clusters(expr: DataFrame, cells: DataFrame, signatures: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(fractions, chosen spots): the first signature (gene_id, weight) for which a cluster is malignant gives the chosen
-    spots; without any, the twentieth of the spots of the greatest depth. Fractions are the correlation with the mean
-    centred profile of the chosen, clipped and stretched.
+    spots, those of such clusters whose correlation is above 0; without any, the twentieth of the spots of the most
+    genes. Fractions are the correlation with the mean centred profile of the chosen, clipped and stretched.
     """
     clusters = cut(d.cluster_cells(expr, cells))
     depth = cut(quality_control(cells, expr, 0))
@@ -26,27 +25,37 @@ def malignant_by_clusters(expr: DataFrame, cells: DataFrame, signatures: list[Da
         r = cut(d.signature_correlation(expr, s, cells))
         good = d.cluster_stats(clusters, r, depth).where("malignant").select("cluster")
         if not good.isEmpty():
-            chosen = clusters.join(good, "cluster").select("cell_id")
+            chosen = clusters.join(good, "cluster").join(r.where("r > 0"), "cell_id", "left_semi").select("cell_id")
             break
     if chosen is None:
-        n = depth.count()
-        chosen = depth.orderBy(F.desc("umi"), "cell_id").limit(max(1, round(0.05 * n))).select("cell_id")
-    return _stretch(expr, cells, chosen), chosen
+        chosen = depth.orderBy(F.desc("genes"), "cell_id").limit(_twentieth(depth.count())).select("cell_id")
+    chosen = cut(chosen)
+    return d.malignant_fraction(d.correlation_with(cut(cpm_log2_center(expr, cells, dense=True)), chosen)), chosen
 
 
-def malignant_by_rounds(expr: DataFrame, cells: DataFrame, signature: DataFrame, share: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """The same without clusters: the spots that go best with the signature give a profile, and the correlation with that the fractions."""
-    r = cut(d.signature_correlation(expr, signature, cells))
-    n = cells.count()
-    chosen = r.orderBy(F.desc_nulls_last("r"), "cell_id").limit(max(1, round(share * n))).select("cell_id")
-    return _stretch(expr, cells, chosen), chosen
+def malignant_by_rounds(expr: DataFrame, cells: DataFrame, signature: DataFrame, at: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The same without clusters, for many spots: the correlation with the signature, clipped at its ``at``-th from either end
+    and stretched, gives the spots at 1; the correlation with their mean centred profile, clipped and stretched alike, gives
+    the fractions, and its spots at 1 are the chosen ones.
+    """
+    first = d.malignant_fraction(d.signature_correlation(expr, signature, cells), at)
+    dense = cut(cpm_log2_center(expr, cells, dense=True))
+    second = cut(d.malignant_fraction(d.correlation_with(dense, cut(first.where("fraction >= 1").select("cell_id"))), at))
+    return second, second.where("fraction >= 1").select("cell_id")
 
 
-def _stretch(expr: DataFrame, cells: DataFrame, chosen: DataFrame) -> DataFrame:
-    dense = cut(cpm_log2_center(expr, cells, dense=True))
-    profile = dense.join(chosen, "cell_id", "left_semi").groupBy("gene_id").agg(F.avg("value").alias("w"))
-    r = dense.join(profile, "gene_id").groupBy("cell_id").agg(F.coalesce(pearson("value", "w"), F.lit(0.0)).alias("fraction"))
-    return clip_min_max(r, "fraction")
+def malignant_bulk(expr: DataFrame, samples: DataFrame, signature: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for bulk samples: of as many samples as have r > 0 and an adjusted p below 0.25, or a twentieth if those are
+    fewer, the ones of the highest correlation with the signature are chosen.
+    """
+    r = cut(d.signature_correlation(expr, signature, samples))
+    n = max(_twentieth(r.count()), r.where("r > 0 and p_adj < 0.25").count())
+    chosen = cut(r.orderBy(F.desc_nulls_last("r"), "cell_id").limit(n).select("cell_id"))
+    return d.malignant_fraction(d.correlation_with(cut(cpm_log2_center(expr, samples, dense=True)), chosen)), chosen
+
+
+def _twentieth(n: int) -> int:
+    return max(1, round(0.05 * n))
 
 
 def deconvolution(expr: DataFrame, cells: DataFrame, reference: DataFrame, lineage: DataFrame, marks: DataFrame, signatures: list[DataFrame], adjacent_normal: bool = False) -> DataFrame:
@@ -63,7 +72,7 @@ def deconvolution_bulk(expr: DataFrame, samples: DataFrame, reference: DataFrame
     """Bulk samples: no clusters. A known purity (cell_id, fraction) takes the place of the inferred one; its profile is that of the purest twentieth."""
     expr = cut(expressed(expr))
     if purity is None:
-        fractions, chosen = malignant_by_rounds(expr, samples, signature)
+        fractions, chosen = malignant_bulk(expr, samples, signature)
     else:
         least = purity.agg(F.percentile("fraction", 0.95).alias("least"))
         fractions, chosen = purity, purity.crossJoin(F.broadcast(least)).where(F.col("fraction") >= F.col("least")).select("cell_id")
@@ -71,39 +80,11 @@ def deconvolution_bulk(expr: DataFrame, samples: DataFrame, reference: DataFrame
 
 
 def reference_from_cells(sc_expr: DataFrame, annotation: DataFrame, lineage: DataFrame, n_cells: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(reference, marks) of annotated single cells: at most so many of each type; a lineage's marker holds against all
-    other lineages but one, a subtype's against all its siblings.
-    """
+    """(reference, marks) of annotated single cells, at most so many of each type; see ``reference_markers`` for the marks."""
     d.validate_reference(sc_expr, annotation, lineage)
     few = cut(d.downsample(annotation, n_cells))
     expr = cut(sc_expr.join(few, "cell_id", "left_semi").select("cell_id", "gene_id", "value"))
-    ref = d.generate_reference(expr, few, lineage)
-    tree = [tuple(r) for r in lineage.select("major", "sub").distinct().collect()]
-    majors = sorted({m for m, _ in tree})
-    by_major = few.join(lineage, "sub").select("cell_id", F.col("major").alias("group"))
-    by_sub = few.select("cell_id", F.col("sub").alias("group"))
-    from ..operators.expression import log2_tpm
-
-    logged = cut(log2_tpm(expr))
-
-    def against(groups: DataFrame, names: list[str], least: int) -> DataFrame | None:
-        found = None
-        for a in names:
-            for b in names:
-                if a != b:
-                    m = d.welch_markers(logged, groups, a, b).select(F.lit(a).alias("cell_type"), F.lit(b).alias("other"), "gene_id")
-                    found = m if found is None else found.unionByName(m)
-        return None if found is None else d.vote_markers(found, least)
-
-    parts = [against(by_major, majors, max(1, len(majors) - 2))]
-    for m in majors:
-        subs = sorted(s for k, s in tree if k == m)
-        parts.append(against(by_sub, subs, max(1, len(subs) - 1)))
-    marks = None
-    for p in parts:
-        if p is not None:
-            marks = p if marks is None else marks.unionByName(p)
-    return ref, marks if marks is not None else expr.sparkSession.createDataFrame([], "cell_type string, gene_id long")
+    return d.generate_reference(expr, few, lineage), d.reference_markers(log2_tpm(expr), few, lineage)
 
 
 def deconvolution_matched(expr: DataFrame, cells: DataFrame, sc_expr: DataFrame, annotation: DataFrame, lineage: DataFrame) -> DataFrame:
@@ -129,8 +110,6 @@ def deconvolution_malignant_custom(expr: DataFrame, cells: DataFrame, fractions:
 
 
 def _states(expr: DataFrame, cells: DataFrame, fractions: DataFrame, groups: DataFrame, names: list[str], source: DataFrame | None = None) -> DataFrame:
-    from ..operators.expression import log2_tpm
-
     source = expr if source is None else source
     lineage = expr.sparkSession.createDataFrame([(d.MALIGNANT, n) for n in names], "major string, sub string")
     ref = cut(d.generate_reference(source, groups.withColumnRenamed("group", "sub"), lineage))
