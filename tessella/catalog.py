@@ -59,7 +59,8 @@ def _spots(spark: SparkSession, d: str) -> DataFrame:
 
 SPOTS = "spots AS (SELECT s_suppkey AS cell_id, (s_suppkey % 32)::DOUBLE AS x, floor(s_suppkey / 32)::DOUBLE AS y, s_nationkey::VARCHAR AS cluster FROM supplier)"
 GRID = "grid AS (SELECT a.cell_id AS src, b.cell_id AS dst, 1.0 AS weight, sqrt((a.x-b.x)**2 + (a.y-b.y)**2) AS distance FROM spots a JOIN spots b ON a.cell_id <> b.cell_id AND (a.x-b.x)**2 + (a.y-b.y)**2 <= 2.25)"
-FEW = "few AS (SELECT * FROM expr WHERE gene_id <= 40)"
+#: All lines, by the part's number modulo 40 as genes: every spot has nearly all of them.
+FEW = "few AS (SELECT l_suppkey AS cell_id, l_partkey % 40 AS gene_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
@@ -67,8 +68,7 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _few(spark: SparkSession, d: str) -> DataFrame:
-    lines = _t(spark, d, "lineitem").where("l_partkey <= 40")
-    return lines.groupBy(F.col("l_suppkey").alias("cell_id"), F.col("l_partkey").alias("gene_id")).agg(F.sum("l_quantity").alias("value"))
+    return _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("cell_id"), (F.col("l_partkey") % 40).alias("gene_id")).agg(F.sum("l_quantity").alias("value"))
 
 
 R = 0.03
@@ -87,6 +87,46 @@ def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})
 
 
+def _permuted_sql(v: str, draw: str, seed: int = 0) -> str:
+    """``model.permuted`` for one pass; ``half`` and ``mask`` are columns."""
+    left, right = f"({v} >> half)", f"({v} & mask)"
+    for r in range(4):
+        x = f"(({right} + {seed * 7_919 + r * 15_485_863 + 12_345} + {draw} * 104729) % 2147483647)"
+        left, right = right, f"xor({left}, (({x} * {x}) % 2147483647 * 48271) % 2147483647 & mask)"
+    return f"(({left} << half) | {right})"
+
+
+def _moves_sql(cells: str, seed: int = 0) -> str:
+    """CTEs: ``idx`` (cell_id, i) and ``moved`` (perm, cell_id, place), the place of every cell in every draw."""
+    first, again = _permuted_sql("i", "perm", seed), _permuted_sql("place", "perm", seed)
+    return f"""size_ AS (SELECT count(*) AS n, greatest(1, ceil(log2(count(*)) / 2))::BIGINT AS half, (1::BIGINT << greatest(1, ceil(log2(count(*)) / 2))::INT) - 1 AS mask FROM {cells}),
+  idx AS (SELECT cell_id, row_number() OVER (ORDER BY cell_id) - 1 AS i FROM {cells}),
+  walk_ AS (SELECT perm, cell_id, {first} AS place FROM idx, size_, range({PERMS}) t(perm) UNION ALL SELECT perm, cell_id, {again} FROM walk_, size_ WHERE place >= n),
+  moved AS (SELECT perm, cell_id, place FROM walk_, size_ WHERE place < n)"""
+
+
+def _t_tail_sql(t: str, df: str, steps: int = 2000) -> str:
+    """Two-sided p of Student's t by Simpson's rule on the angle whose tangent is t / sqrt(df)."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    share = f"CASE WHEN k IN (0, {steps}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * (pi() / 2 - {angle}) / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda k: ({share}) * power(greatest(cos({angle} + k * (pi() / 2 - {angle}) / {steps}), 0), {df} - 1))))"
+
+
+def _normal_tail_sql(z: str, steps: int = 400) -> str:
+    """Two-sided p of a standard normal by Simpson's rule."""
+    share = f"CASE WHEN k IN (0, {steps}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(2 / sqrt(2 * pi()) * 8 / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda k: ({share}) * exp(-(abs({z}) + k * 8 / {steps})**2 / 2))))"
+
+
+def _bh_sql(rows: str, p: str, by: str = "") -> str:
+    """Rows with p_adj."""
+    part = f"PARTITION BY {by}" if by else ""
+    return f"(SELECT *, least(min({p} * n_ / k_) OVER ({part} ORDER BY k_ DESC ROWS UNBOUNDED PRECEDING), 1) AS p_adj FROM (SELECT *, row_number() OVER ({part} ORDER BY {p}) AS k_, count(*) OVER ({part}) AS n_ FROM {rows}))"
+
+
+PERMS = 1000
+
+
 # graphs
 
 
@@ -170,17 +210,19 @@ def closeness(spark, d):
     return _rounded(graph.closeness(_spots(spark, d), _grid(spark, d)), "closeness")
 
 
-ORACLE_SQL.pop("closeness")
-
-
 @query()
 def betweenness(spark, d):
     return _rounded(graph.betweenness(_spots(spark, d), _grid(spark, d)), "betweenness")
 
 
-@query()
+@query(f"""WITH {CELLS}, p AS (SELECT x, y, min(cell_id) AS id FROM cells GROUP BY x, y),
+  e AS (SELECT a.id AS src, b.id AS dst, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my, a.y - b.y AS nx, b.x - a.x AS ny, (a.x-b.x)**2 + (a.y-b.y)**2 AS d2 FROM p a JOIN p b ON a.id < b.id),
+  t AS (SELECT src, dst, d2, ((c.x - mx)**2 + (c.y - my)**2 - d2 / 4) / (2 * nullif((c.x - mx) * nx + (c.y - my) * ny, 0)) AS bound, (c.x - mx) * nx + (c.y - my) * ny AS side, (c.x - mx)**2 + (c.y - my)**2 < d2 / 4 AS inside FROM e, p c WHERE c.id NOT IN (src, dst)),
+  k AS (SELECT src, dst, any_value(d2) AS d2 FROM t GROUP BY src, dst HAVING coalesce(max(bound) FILTER (side < 0), -1e300) <= coalesce(min(bound) FILTER (side > 0), 1e300) AND count(*) FILTER (side = 0 AND inside) = 0)
+  SELECT src, dst, 1.0::DOUBLE AS weight, round(sqrt(d2), 6) + 0.0 AS distance FROM k UNION ALL SELECT dst, src, 1.0, round(sqrt(d2), 6) + 0.0 FROM k""")
 def delaunay(spark, d):
-    return spatial.delaunay_graph(_cells(spark, d))
+    """An edge is one of the triangulation if some circle through its ends holds no other point: a bound on the centre from each."""
+    return _rounded(spatial.delaunay_graph(_cells(spark, d)), "distance")
 
 
 @query(f"WITH {KNN}, pick AS (SELECT cell_id FROM cells ORDER BY md5('7_' || cell_id), cell_id LIMIT 100) SELECT src, dst FROM edges WHERE src IN (SELECT cell_id FROM pick) AND dst IN (SELECT cell_id FROM pick)")
@@ -199,14 +241,11 @@ def interaction_matrix(spark, d):
     return _rounded(permutation.interaction_matrix(_cells(spark, d), _knn(spark, d), "cluster"), "value")
 
 
-PERMS = 10
-
-
-@query(f"""WITH {KNN}, {COUNTS},
+@query(f"""WITH RECURSIVE {KNN}, {COUNTS}, {_moves_sql("cells")},
   z AS (SELECT cluster, sum(count(*)) OVER (ORDER BY cluster) AS hi, count(*) AS k FROM cells GROUP BY cluster),
-  placed AS (SELECT perm, cell_id, row_number() OVER (PARTITION BY perm ORDER BY md5('0_' || perm || '_' || cell_id), cell_id) AS pos FROM cells, range({PERMS}) t(perm)),
-  lab AS (SELECT perm, cell_id, cluster FROM placed JOIN z ON pos > hi - k AND pos <= hi),
-  cnt AS (SELECT a.perm, a.cluster AS label_src, b.cluster AS label_dst, count(*) AS n FROM edges JOIN lab a ON a.cell_id = src JOIN lab b ON b.cell_id = dst AND a.perm = b.perm GROUP BY ALL),
+  lab AS MATERIALIZED (SELECT perm, cell_id, cluster FROM moved JOIN z ON place >= hi - k AND place < hi),
+  one AS MATERIALIZED (SELECT perm, dst, cluster AS label_src FROM edges JOIN lab ON cell_id = src),
+  cnt AS (SELECT perm, label_src, cluster AS label_dst, count(*) AS n FROM one JOIN lab USING (perm) WHERE cell_id = dst GROUP BY ALL),
   nul AS (SELECT label_src, label_dst, avg(coalesce(n, 0)) AS mean, stddev_pop(coalesce(n, 0)) AS sd FROM pairs CROSS JOIN range({PERMS}) t(perm) LEFT JOIN cnt USING (perm, label_src, label_dst) GROUP BY ALL)
   SELECT label_src, label_dst, coalesce(n, 0) AS n, round(mean, 6) AS mean, round(sd, 6) AS sd, round((coalesce(n, 0) - mean) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) + 0.0 AS z FROM pairs LEFT JOIN seen USING (label_src, label_dst) JOIN nul USING (label_src, label_dst)""")
 def nhood_enrichment(spark, d):
@@ -225,22 +264,32 @@ RADII = [0.02, 0.04, 0.06, 0.08, 0.1]
 RIPLEY = f"""WITH {CELLS}, r AS (SELECT unnest({RADII})::DOUBLE AS radius), area AS (SELECT (max(x) - min(x)) * (max(y) - min(y)) AS area FROM cells), z AS (SELECT cluster, count(*) AS n FROM cells GROUP BY cluster),
   p AS (SELECT a.cluster, sqrt((a.x-b.x)**2 + (a.y-b.y)**2) AS distance FROM cells a JOIN cells b ON a.cluster = b.cluster),
   c AS (SELECT z.cluster, radius, (SELECT count(*) FROM p WHERE p.cluster = z.cluster AND distance > 0 AND distance <= radius) AS pairs, n FROM z, r),
-  k AS (SELECT cluster AS label, radius, pairs, area * pairs / (n * (n - 1)) AS k FROM c, area) """
+  k AS (SELECT cluster AS label, radius, pairs, area * pairs / (n * (n - 1)) AS k FROM c, area)"""
 
 
-@query(RIPLEY + "SELECT label, radius, pairs, round(k, 6) AS value FROM k")
+@query(RIPLEY + " SELECT label, radius, pairs, round(k, 6) AS value FROM k")
 def ripley_k(spark, d):
     return _rounded(permutation.ripley(_cells(spark, d), "cluster", RADII, "K"), "value")
 
 
-@query(RIPLEY + "SELECT label, radius, pairs, round(sqrt(k / pi()) - radius, 6) + 0.0 AS value FROM k")
+@query(RIPLEY + " SELECT label, radius, pairs, round(sqrt(k / pi()) - radius, 6) + 0.0 AS value FROM k")
 def ripley_l(spark, d):
     return _rounded(permutation.ripley(_cells(spark, d), "cluster", RADII, "L"), "value")
 
 
-@query()
+SIMS = 100
+ENVELOPE = f"""{RIPLEY}, box AS (SELECT cluster AS label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, count(*) AS n FROM cells GROUP BY cluster),
+  u AS (SELECT label, sim, id, n, x0 + (('0x' || substr(md5('0x_' || label || '_' || sim || '_' || id), 1, 8))::BIGINT / 4294967296.0) * (x1 - x0) AS x, y0 + (('0x' || substr(md5('0y_' || label || '_' || sim || '_' || id), 1, 8))::BIGINT / 4294967296.0) * (y1 - y0) AS y FROM box, range({SIMS}) t(sim), LATERAL (SELECT unnest(range(1, n + 1)) AS id)),
+  d AS (SELECT a.label, a.sim, sqrt((a.x-b.x)**2 + (a.y-b.y)**2) AS distance FROM u a JOIN u b ON a.label = b.label AND a.sim = b.sim),
+  w AS (SELECT label, sim, radius, count(*) FILTER (distance > 0 AND distance <= radius) AS pairs FROM d, r GROUP BY ALL),
+  v AS (SELECT label, radius, sqrt(area * pairs / (n * (n - 1)) / pi()) - radius AS v FROM w JOIN box USING (label), area),
+  e AS (SELECT label, radius, avg(v) AS mean, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM v GROUP BY ALL)
+  SELECT label, radius, round(sqrt(k / pi()) - radius, 6) + 0.0 AS value, round(mean, 6) + 0.0 AS mean, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high FROM k JOIN e USING (label, radius)"""
+
+
+@query(ENVELOPE)
 def ripley_envelope(spark, d):
-    return permutation.ripley_envelope(_cells(spark, d), "cluster", RADII, 20)
+    return _rounded(permutation.ripley_envelope(_cells(spark, d), "cluster", RADII, SIMS), "value", "mean", "low", "high")
 
 
 # expression
@@ -284,13 +333,13 @@ def dedup_genes(spark, d):
 @query(f"""WITH {EXPR}, z AS (SELECT count(*) AS z FROM part), r AS (SELECT cell_id, gene_id, rank() OVER (PARTITION BY cell_id ORDER BY value DESC) + (count(*) OVER (PARTITION BY cell_id, value) - 1) / 2.0 AS rk FROM expr WHERE value > 0),
   st AS (SELECT cell_id, count(*) AS k FROM r GROUP BY cell_id), sz AS (SELECT p_brand AS set_name, count(*) AS size FROM part GROUP BY p_brand),
   h AS (SELECT cell_id, p_brand AS set_name, sum(rk) AS sr, count(*) AS hits FROM r JOIN part ON p_partkey = gene_id GROUP BY ALL)
-  SELECT s_suppkey AS cell_id, sz.set_name, round(1 - ((coalesce(sr, 0) + (size - coalesce(hits, 0)) * (coalesce(k, 0) + (z - coalesce(k, 0) + 1) / 2.0)) / size) / z, 6) AS score
+  SELECT s_suppkey AS cell_id, sz.set_name, round(1 - ((coalesce(sr, 0) + (size - coalesce(hits, 0)) * (coalesce(k, 0) + (z - coalesce(k, 0) + 1) / 2.0)) / size) / z, 9) AS score
   FROM supplier CROSS JOIN sz CROSS JOIN z LEFT JOIN st ON st.cell_id = s_suppkey LEFT JOIN h ON h.cell_id = s_suppkey AND h.set_name = sz.set_name""")
 def ucell_score(spark, d):
     part = _t(spark, d, "part")
     genes = part.select(F.col("p_partkey").alias("gene_id"))
     sets = part.select(F.col("p_brand").alias("set_name"), F.col("p_partkey").alias("gene_id"))
-    return _rounded(expression.gene_set_score(_expr(spark, d), _spots(spark, d), genes, sets), "score")
+    return _rounded(expression.gene_set_score(_expr(spark, d), _spots(spark, d), genes, sets), "score", places=9)
 
 
 @query("WITH v AS (SELECT c_custkey, c_acctbal AS v FROM customer), k AS (SELECT greatest(round_even(count(*) * 0.05, 0), 1)::INT AS k FROM v), b AS (SELECT (SELECT v FROM (SELECT v, row_number() OVER (ORDER BY v) AS i FROM v), k WHERE i = k) AS lo, (SELECT v FROM (SELECT v, row_number() OVER (ORDER BY v DESC) AS i FROM v), k WHERE i = k) AS hi) SELECT c_custkey, round(coalesce((greatest(least(v, hi), lo) - lo) / nullif(hi - lo, 0), 0), 6) AS fraction FROM v, b")
@@ -303,7 +352,7 @@ def clip_min_max(spark, d):
 
 
 Z = "st AS (SELECT gene_id, sum(value) / (SELECT count(*) FROM spots) AS m, sqrt(sum(value * value) / (SELECT count(*) FROM spots) - (sum(value) / (SELECT count(*) FROM spots))**2) AS sd FROM few GROUP BY gene_id), z AS (SELECT s.cell_id, st.gene_id, (coalesce(value, 0) - m) / sd AS z FROM spots s CROSS JOIN st LEFT JOIN few f ON f.cell_id = s.cell_id AND f.gene_id = st.gene_id WHERE sd > 1e-6)"
-MORAN = f"WITH {EXPR}, {FEW}, {SPOTS}, {GRID}, {Z} "
+MORAN = f"WITH RECURSIVE {FEW}, {SPOTS}, {GRID}, {Z} "
 
 
 @query(MORAN + "SELECT a.gene_id, round(sum(a.z * b.z) / count(*), 6) + 0.0 AS i FROM grid JOIN z a ON a.cell_id = src JOIN z b ON b.cell_id = dst AND a.gene_id = b.gene_id GROUP BY a.gene_id")
@@ -317,17 +366,17 @@ def moran_bivariate(spark, d):
     return _rounded(moran.bivariate(_few(spark, d), _spots(spark, d), _grid(spark, d), pairs), "i")
 
 
-@query(MORAN + "SELECT a.gene_id AS gene_a, b.gene_id AS gene_b, round(sum(a.z * b.z) / count(*), 6) + 0.0 AS i FROM grid JOIN z a ON a.cell_id = src AND a.gene_id <= 12 JOIN z b ON b.cell_id = dst AND b.gene_id <= 12 GROUP BY ALL")
+@query(MORAN + "SELECT a.gene_id AS gene_a, b.gene_id AS gene_b, round(sum(a.z * b.z) / count(*), 6) + 0.0 AS i FROM grid JOIN z a ON a.cell_id = src JOIN z b ON b.cell_id = dst GROUP BY ALL")
 def moran_pairwise(spark, d):
-    return _rounded(moran.pairwise(_few(spark, d).where("gene_id <= 12"), _spots(spark, d), _grid(spark, d)), "i")
+    return _rounded(moran.pairwise(_few(spark, d), _spots(spark, d), _grid(spark, d)), "i")
 
 
-@query(MORAN.rstrip() + f""", perms AS (SELECT perm, cell_id, row_number() OVER (PARTITION BY perm ORDER BY md5('0a_' || perm || '_' || cell_id), cell_id) AS a, row_number() OVER (PARTITION BY perm ORDER BY md5('0b_' || perm || '_' || cell_id), cell_id) AS b FROM spots, range({PERMS}) t(perm)),
-  mv AS (SELECT x.perm, x.cell_id, y.cell_id AS from_id FROM perms x JOIN perms y ON x.perm = y.perm AND x.a = y.b),
-  zp AS (SELECT perm, mv.cell_id, gene_id, z FROM mv JOIN z ON z.cell_id = mv.from_id),
-  nul AS (SELECT a.perm, a.gene_id, sum(a.z * b.z) / count(*) AS i FROM grid JOIN zp a ON a.cell_id = src JOIN zp b ON b.cell_id = dst AND a.gene_id = b.gene_id AND a.perm = b.perm GROUP BY ALL),
+@query(MORAN.rstrip() + f""", {_moves_sql("spots")},
+  zp AS MATERIALIZED (SELECT perm, moved.cell_id, gene_id, z FROM moved JOIN idx ON idx.i = moved.place JOIN z ON z.cell_id = idx.cell_id),
+  one AS MATERIALIZED (SELECT perm, gene_id, dst, sum(z) AS z, count(*) AS k FROM grid JOIN zp ON cell_id = src GROUP BY ALL),
+  nul AS (SELECT perm, gene_id, sum(one.z * zp.z) / sum(k) AS i FROM one JOIN zp USING (perm, gene_id) WHERE cell_id = dst GROUP BY ALL),
   obs AS (SELECT a.gene_id, sum(a.z * b.z) / count(*) AS i FROM grid JOIN z a ON a.cell_id = src JOIN z b ON b.cell_id = dst AND a.gene_id = b.gene_id GROUP BY ALL),
-  t AS (SELECT o.gene_id, o.i, (o.i - avg(n.i)) / stddev_samp(n.i) AS z, (count(*) FILTER (WHERE n.i >= o.i) + 1) / {PERMS + 1}.0 AS p FROM obs o JOIN nul n USING (gene_id) GROUP BY o.gene_id, o.i)
+  t AS (SELECT o.gene_id, o.i, coalesce((o.i - avg(n.i)) / nullif(CASE WHEN stddev_samp(n.i) > 1e-12 THEN stddev_samp(n.i) ELSE 0 END, 0), 0) AS z, (count(*) FILTER (WHERE n.i >= o.i - 1e-9) + 1) / {PERMS + 1}.0 AS p FROM obs o JOIN nul n USING (gene_id) GROUP BY o.gene_id, o.i)
   SELECT gene_id, round(i, 6) + 0.0 AS i, round(z, 4) + 0.0 AS z, round(p, 6) AS p FROM t""")
 def moran_test(spark, d):
     t = moran.univariate_test(_few(spark, d), _spots(spark, d), cut(_grid(spark, d)), PERMS)
@@ -487,10 +536,43 @@ def ccc_matrix(spark, d):
     return signaling.ccc_matrix(signaling.ccc_counts(c, "cluster", e, v, R))
 
 
-@query()
+def _strips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells, and proteins that are expressed and active in strips of the plane, so that neighbours agree more than others."""
+    c = _cells(spark, d)
+    p = c.select("cell_id", "x", "y", "cluster").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    live = (F.pmod(F.floor(F.col("x") * 16) + F.col("k"), F.lit(2)) == 0) & (F.pmod(F.col("cell_id") + F.col("k"), F.lit(7)) > 0)
+    value = lambda m: p.select("cell_id", F.concat(F.lit("p"), "k").alias("protein"), F.when(live, 1 + F.pmod(F.col("cell_id") * m, F.lit(3))).otherwise(0).cast("double").alias("value"))
+    return c, value(1), value(2)
+
+
+def _strip_sql(m: int) -> str:
+    return f"SELECT cell_id, k AS protein, CASE WHEN (((floor(x * 16)::BIGINT + k) % 2) + 2) % 2 = 0 AND (cell_id + k) % 7 > 0 THEN 1 + (cell_id * {m}) % 3 ELSE 0 END::DOUBLE AS value FROM cells, range(5) t(k)"
+
+
+def _drawn_sql(at: str, n: str) -> str:
+    one = f"((((start + {at}) % 2147483647) * 48271 + 11) % 2147483647)"
+    two = f"(({one} * {one} + {one} * 69621 + 7) % 2147483647)"
+    return f"((({two} * {two} + 16807) % 2147483647) % {n})"
+
+
+@query(f"""WITH {CELLS.replace("label::VARCHAR", "label::INT")}, e AS ({_strip_sql(1)}), v AS ({_strip_sql(2)}),
+  near AS (SELECT a.cell_id AS src, b.cell_id AS dst, a.cluster AS sender, b.cluster AS receiver FROM cells a JOIN cells b ON a.cluster <> b.cluster AND sqrt((a.x-b.x)**2 + (a.y-b.y)**2) <= {R}),
+  z AS (SELECT cluster, count(*) AS n FROM cells GROUP BY cluster),
+  pr AS (SELECT sender, receiver, count(*) AS n, count(DISTINCT src) AS ts, count(DISTINCT dst) AS tr FROM near GROUP BY ALL),
+  talk AS (SELECT sender, receiver, e.protein, count(*) FILTER (e.value > 0 AND v.value > 0) AS c, sum(e.value * v.value) AS total FROM near JOIN e ON e.cell_id = src JOIN v ON v.cell_id = dst AND v.protein = e.protein GROUP BY ALL),
+  seen AS MATERIALIZED (SELECT sender, talk.protein, receiver, a.n AS sender_count, b.n AS receiver_count, pr.n AS neighboring_pairs, c AS communicating_pairs, c / pr.n AS ratio, total / pr.n AS mean, greatest(sender, receiver) AS hi, least(sender, receiver) AS lo FROM talk JOIN pr USING (sender, receiver) JOIN z a ON a.cluster = sender JOIN z b ON b.cluster = receiver WHERE (ts >= 0.05 * a.n OR tr >= 0.05 * b.n) AND c / pr.n > 0.2),
+  pl AS MATERIALIZED (SELECT cell_id, cluster, row_number() OVER (PARTITION BY cluster ORDER BY cell_id) - 1 AS place FROM cells),
+  pq AS (SELECT DISTINCT hi, lo, neighboring_pairs AS n, ('0x' || substr(md5('0_' || hi || '_' || lo), 1, 7))::BIGINT AS start FROM seen),
+  sl AS (SELECT hi, lo, n, start, unnest(range(n * 1000)) AS k FROM pq),
+  dr AS (SELECT hi, lo, k // sl.n AS draw, {_drawn_sql("2 * k", "a.n")} AS pi_, {_drawn_sql("2 * k + 1", "b.n")} AS pj FROM sl JOIN z a ON a.cluster = hi JOIN z b ON b.cluster = lo),
+  ch AS MATERIALIZED (SELECT hi, lo, draw, i.cell_id AS ci, j.cell_id AS cj FROM dr JOIN pl i ON i.cluster = hi AND i.place = pi_ JOIN pl j ON j.cluster = lo AND j.place = pj),
+  both_ AS (SELECT hi AS sender, lo AS receiver, draw, ci AS src, cj AS dst FROM ch UNION ALL SELECT lo, hi, draw, cj, ci FROM ch),
+  nu AS (SELECT s.sender, s.protein, s.receiver, draw, any_value(s.mean) AS mean, avg(e.value * v.value) AS null_ FROM seen s JOIN both_ b ON b.sender = s.sender AND b.receiver = s.receiver JOIN e ON e.protein = s.protein AND e.cell_id = b.src JOIN v ON v.protein = s.protein AND v.cell_id = b.dst GROUP BY ALL),
+  p AS MATERIALIZED (SELECT sender, protein, receiver, (count(*) FILTER (null_ >= mean) + 1) / 1001.0 AS pv FROM nu GROUP BY ALL)
+  SELECT sender::VARCHAR AS sender, 'p' || protein AS protein, receiver::VARCHAR AS receiver, sender_count, receiver_count, neighboring_pairs, communicating_pairs, round(ratio, 6) AS ratio, round(pv, 6) AS pv, round(p_adj, 6) AS pv_adj FROM {_bh_sql("(SELECT * FROM seen JOIN p USING (sender, protein, receiver))", "pv")} WHERE p_adj < 0.01""")
 def spatial_ccc(spark, d):
-    c, e, v = _signals(spark, d)
-    return signaling.spatial_ccc(c, "cluster", e, v, R, n_background=20, padj_cutoff=0.5)
+    c, e, v = _strips(spark, d)
+    return _rounded(signaling.spatial_ccc(c, "cluster", e, v, R), "ratio", "pv", "pv_adj")
 
 
 FLOW = f"""{RADIUS}, fl AS (SELECT b.cell_id, b.x, b.y, coalesce((b.x - a.x) / nullif(distance, 0), 0) AS ux, coalesce((b.y - a.y) / nullif(distance, 0), 0) AS uy, (a.cell_id % 5)::DOUBLE * greatest(b.cell_id % 7 - 3, 0) AS f FROM edges JOIN cells a ON a.cell_id = src JOIN cells b ON b.cell_id = dst),
@@ -505,9 +587,10 @@ def velocity_arrows(spark, d):
     return _rounded(signaling.velocity(spatial.radius_graph(c, R), c, e, a), "dx", "dy", "total").select("cell_id", "dx", "dy", "total")
 
 
-@query("WITH w AS (SELECT p_partkey, max(l_quantity) FILTER (l_linenumber = 1) AS a, max(l_quantity) FILTER (l_linenumber <> 1) AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) SELECT p_partkey::VARCHAR AS gene, a AS weight FROM w WHERE a >= 2 * coalesce(b, 0)")
+@query("WITH l AS (SELECT l_suppkey, l_linenumber, sum(l_quantity * ((l_suppkey % 7 = l_linenumber)::INT * 9 + 1)) AS q FROM lineitem GROUP BY ALL), w AS (SELECT l_suppkey, max(q) FILTER (l_linenumber = 1) AS a, max(q) FILTER (l_linenumber <> 1) AS b FROM l GROUP BY ALL) SELECT l_suppkey::VARCHAR AS gene, a AS weight FROM w WHERE a >= 2 * coalesce(b, 0)")
 def pattern_genes(spark, d):
-    w = _t(spark, d, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("gene"), F.col("l_linenumber").alias("pattern")).agg(F.max("l_quantity").alias("weight"))
+    heavy = F.when(F.col("l_suppkey") % 7 == F.col("l_linenumber"), 10).otherwise(1)
+    w = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("gene"), F.col("l_linenumber").alias("pattern")).agg(F.sum(F.col("l_quantity") * heavy).alias("weight"))
     return signaling.pattern_genes(w, 1)
 
 
@@ -582,9 +665,15 @@ def mask_iou(spark, d):
     return _rounded(raster.iou(_pixels(spark, d), _pixels(spark, d, 1)), "iou")
 
 
-@query()
+@query(f"""WITH {PX}, t AS (SELECT row, col, label + 100 AS label FROM px WHERE (row * 7 + col * 3 + label) % 10 < 4 + label % 7),
+  a AS (SELECT label, count(*) AS n FROM px GROUP BY label), b AS (SELECT label, count(*) AS n FROM t GROUP BY label), i AS (SELECT px.label AS p, t.label AS q, count(*) AS n FROM px JOIN t USING (row, col) GROUP BY ALL),
+  m AS (SELECT count(*) AS tp, coalesce(avg(i.n / (a.n + b.n - i.n)), 0) AS iou FROM i JOIN a ON a.label = p JOIN b ON b.label = q WHERE i.n / (a.n + b.n - i.n) >= 0.5),
+  s AS (SELECT tp, iou, (SELECT count(*) FROM a) AS np, (SELECT count(*) FROM b) AS nt, (SELECT count(*) FROM px) AS ap, (SELECT count(*) FROM t) AS aq, (SELECT sum(n) FROM i) AS both_ FROM m)
+  SELECT tp, np - tp AS fp, nt - tp AS fn, round(tp / np, 6) AS precision, round(tp / nt, 6) AS recall, round(2 * tp / (np + nt), 6) AS f1, round(iou, 6) AS mean_iou, round(both_ / (ap + aq - both_), 6) AS foreground_iou FROM s""")
 def segmentation_metrics(spark, d):
-    return raster.segmentation_metrics(_pixels(spark, d), _pixels(spark, d, 1), 0.05)
+    p = _pixels(spark, d)
+    truth = p.where("(row * 7 + col * 3 + label) % 10 < 4 + label % 7").withColumn("label", F.col("label") + 100)
+    return _rounded(raster.segmentation_metrics(p, truth), "precision", "recall", "f1", "mean_iou", "foreground_iou")
 
 
 @query(f"WITH {PX}, a AS (SELECT label, row_number() OVER (ORDER BY label)::INT AS k FROM (SELECT label FROM px GROUP BY label HAVING count(*) BETWEEN 10 AND 100000)) SELECT row, col, k AS label FROM px JOIN a USING (label)")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +54,12 @@ def hash_order(*key: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (``spark.checkpoint.dir``); where none is set, a temporary one for a session in one process, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -72,6 +78,39 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def dense_index(df: DataFrame, key: str = "cell_id") -> DataFrame:
+    """(key, idx): the keys of ``df`` numbered from 0 in their order, by ranges: no task sorts all of them."""
+    parts = df.select(key).repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id())
+    parts = cut(parts)
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    first = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))  # a row for each partition
+    return parts.join(F.broadcast(first), "part").select(key, (F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1 + F.col("first")).alias("idx"))
+
+
+_PRIME = 2_147_483_647
+
+
+def permuted(idx: np.ndarray, n: int, seed: int, draw: int) -> np.ndarray:
+    """A bijection of [0, n) that seed and draw decide: four Feistel rounds on the bits, repeated where they lead past n.
+
+    Each place is computed on its own, so a permutation needs neither a sort nor the other places.
+    """
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+
+    def rounds(v: np.ndarray) -> np.ndarray:
+        left, right = v >> half, v & mask
+        for r in range(4):
+            x = (right + (seed * 7_919 + draw * 104_729 + r * 15_485_863 + 12_345)) % _PRIME
+            left, right = right, left ^ (((x * x) % _PRIME * 48_271) % _PRIME & mask)
+        return (left << half) | right
+
+    out = rounds(np.asarray(idx, np.int64))
+    while (past := out >= n).any():
+        out[past] = rounds(out[past])
+    return out
+
+
 def coordinates(df: DataFrame) -> DataFrame:
     """``df`` with x and y (and z) from the first pair of columns that it has."""
     for x, y, z in (("x", "y", "z"), ("x_um", "y_um", "z_um"), ("coordinate_x_um", "coordinate_y_um", ""), ("x_centroid", "y_centroid", "z_centroid"), ("array_col", "array_row", "")):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import bh_adjust, correlation_pvalue, spearman
-from ..model import hash_order, ratio
+from ..model import cut, ratio
 from .spatial import pairs_within
 
 
@@ -133,32 +133,68 @@ def ccc_counts(cells: DataFrame, cell_type: str, expr: DataFrame, act: DataFrame
     return out.select("sender", "protein", "receiver", "sender_count", "receiver_count", "neighboring_pairs", "communicating_pairs", (F.col("communicating_pairs") / F.col("neighboring_pairs")).alias("ratio"))
 
 
+#: A prime just below 2^31, so that a square fits in 64 bits.
+_PRIME = 2_147_483_647
+
+
+def drawn(start: int, at: np.ndarray, n: int) -> np.ndarray:
+    """Places below ``n`` for the draws of numbers ``at``: squares modulo a prime, which SQL can repeat."""
+    x = (start + at) % _PRIME
+    x = (x * 48_271 + 11) % _PRIME
+    x = (x * x + x * 69_621 + 7) % _PRIME
+    x = (x * x + 16_807) % _PRIME
+    return x % n
+
+
 def spatial_ccc(cells: DataFrame, cell_type: str, expr: DataFrame, act: DataFrame, radius: float = 20.0, ratio_cutoff: float = 0.2, padj_cutoff: float = 0.01, n_background: int = 1000, seed: int = 0) -> DataFrame:
-    """``ccc_counts`` above the ratio's cutoff, tested against as many pairs of the types drawn with replacement by a hash.
+    """``ccc_counts`` above the ratio's cutoff whose mean product of expression and activity is larger than by chance.
 
-    p is (draws with at least the ratio + 1) / (n + 1), adjusted over the tested rows; those under the cutoff come in
-    order of it. A draw's ratio follows from the shares of cells that express and that are active.
+    As many pairs of the two types as are neighbours are drawn with replacement, ``n_background`` times, once for each
+    pair of types: both directions and all proteins take the same draws. p is (draws of at least the seen mean + 1) /
+    (n + 1), adjusted over the tested rows; rows under the cutoff come in order of it. A task has one pair of types and
+    one protein: the values of their cells, and a draw at a time.
     """
-    seen = ccc_counts(cells, cell_type, expr, act, radius).where(F.col("ratio") > ratio_cutoff)
     at = cells.select("cell_id", F.col(cell_type).cast("string").alias("t"))
-    placed = at.withColumn("at", F.row_number().over(Window.partitionBy("t").orderBy("cell_id")) - 1)
-    draws = cells.sparkSession.range(n_background).select(F.col("id").alias("draw"))
-    picks = seen.crossJoin(F.broadcast(draws)).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("neighboring_pairs"))))
-
-    def pick(tag: str, count: str) -> Column:
-        h = F.conv(F.substring(hash_order(F.lit(f"{seed}{tag}"), "sender", "protein", "receiver", "draw", "i"), 1, 12), 16, 10).cast("long")
-        return F.pmod(h, F.col(count))
-
-    picks = picks.withColumns({"ps": pick("s", "sender_count"), "pr": pick("r", "receiver_count")})
-    s = placed.select(F.col("t").alias("sender"), F.col("at").alias("ps"), F.col("cell_id").alias("src"))
-    r = placed.select(F.col("t").alias("receiver"), F.col("at").alias("pr"), F.col("cell_id").alias("dst"))
-    sends = expr.where("value > 0").select(F.col("cell_id").alias("src"), "protein").distinct().withColumn("e", F.lit(1))
-    takes = act.where("value > 0").select(F.col("cell_id").alias("dst"), "protein").distinct().withColumn("v", F.lit(1))
-    drawn = picks.join(s, ["sender", "ps"]).join(r, ["receiver", "pr"]).join(sends, ["src", "protein"], "left").join(takes, ["dst", "protein"], "left")
-    null = drawn.groupBy("sender", "protein", "receiver", "draw", "ratio").agg(F.avg(F.when(F.col("e").isNotNull() & F.col("v").isNotNull(), 1.0).otherwise(0.0)).alias("null"))
-    p = null.groupBy("sender", "protein", "receiver").agg(((F.count_if(F.col("null") >= F.col("ratio")) + 1) / F.lit(float(n_background + 1))).alias("pv"))
-    tested = bh_adjust(seen.join(p, ["sender", "protein", "receiver"]), "pv", out="pv_adj")
-    return tested.where(F.col("pv_adj") < padj_cutoff).orderBy("pv_adj", "sender", "protein", "receiver")
+    seen = cut(ccc_counts(cells, cell_type, expr, act, radius).where(F.col("ratio") > ratio_cutoff))
+    high, low = F.greatest("sender", "receiver"), F.least("sender", "receiver")
+    pairs = seen.select(high.alias("a"), low.alias("b"), "protein", F.col("neighboring_pairs").alias("n")).distinct()
+    start = F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(seed), "a", "b")), 1, 7), 16, 10).cast("long")
+    sizes = at.groupBy("t").agg(F.count("*").alias("k"))
+    tests = pairs.withColumn("start", start).join(sizes.select(F.col("t").alias("a"), F.col("k").alias("ka")), "a").join(sizes.select(F.col("t").alias("b"), F.col("k").alias("kb")), "b")
+    placed = at.withColumn("place", F.row_number().over(Window.partitionBy("t").orderBy("cell_id")) - 1)
+    values = expr.select("cell_id", "protein", F.col("value").alias("e")).join(act.select("cell_id", "protein", F.col("value").alias("v")), ["cell_id", "protein"], "full").fillna(0.0, ["e", "v"]).where("e <> 0 or v <> 0")
+    held = values.join(placed, "cell_id")
+    sides = [tests.join(held.withColumnRenamed("t", c), [c, "protein"]).select(*tests.columns, F.lit(c).alias("side"), "place", "e", "v") for c in ("a", "b")]
+
+    def chance(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[0]
+        v = {}
+        for side, k in (("a", one["ka"]), ("b", one["kb"])):
+            part = pdf[pdf["side"] == side]
+            for c in "ev":
+                v[c + side] = np.zeros(int(k))
+                v[c + side][part["place"]] = part[c]
+        n = int(one["n"])
+        out = []
+        for d in range(n_background):
+            at = np.arange(d * n, d * n + n)
+            i, j = drawn(int(one["start"]), 2 * at, int(one["ka"])), drawn(int(one["start"]), 2 * at + 1, int(one["kb"]))
+            out.append((v["ea"][i] @ v["vb"][j] / n, v["eb"][j] @ v["va"][i] / n))
+        there, back = zip(*out)
+        return pd.DataFrame({"sender": [one["a"], one["b"]], "protein": one["protein"], "receiver": [one["b"], one["a"]], "null": [list(there), list(back)]})
+
+    null = sides[0].unionAll(sides[1]).groupBy("a", "b", "protein").applyInPandas(chance, "sender string, protein string, receiver string, null array<double>")
+    points = cells.select("cell_id", "x", "y", F.col(cell_type).cast("string").alias("t"))
+    near = pairs_within(points, points, radius, ["x", "y"]).where("a.t <> b.t").select(F.col("a.cell_id").alias("src"), F.col("b.cell_id").alias("dst"), F.col("a.t").alias("sender"), F.col("b.t").alias("receiver"))
+    sends = expr.where("value <> 0").select(F.col("cell_id").alias("src"), "protein", F.col("value").alias("e"))
+    takes = act.where("value <> 0").select(F.col("cell_id").alias("dst"), "protein", F.col("value").alias("v"))
+    total = near.join(sends, "src").join(takes, ["dst", "protein"]).groupBy("sender", "protein", "receiver").agg(F.sum(F.col("e") * F.col("v")).alias("total"))
+    key = ["sender", "protein", "receiver"]
+    tested = seen.join(total, key).join(null, key)
+    mean = F.col("total") / F.col("neighboring_pairs")
+    up = F.size(F.filter("null", lambda x: x >= mean))
+    tested = bh_adjust(tested.withColumn("pv", (up + 1) / F.lit(float(n_background + 1))).drop("null", "total"), "pv", out="pv_adj")
+    return tested.where(F.col("pv_adj") < padj_cutoff).orderBy("pv_adj", *key)
 
 
 def ccc_matrix(ccc: DataFrame) -> DataFrame:

@@ -33,19 +33,21 @@ def _distance(dims: list[str], a: str = "a", b: str = "b") -> Column:
     return F.sqrt(total)
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius: float, dims: list[str]) -> DataFrame:
-    """Rows of both sides at most ``radius`` apart: structs ``a`` and ``b``, and ``distance``.
+def pairs_within(left: DataFrame, right: DataFrame, radius: float, dims: list[str], by: list[str] | None = None) -> DataFrame:
+    """Rows of both sides at most ``radius`` apart and equal in ``by``: structs ``a`` and ``b``, and ``distance``.
 
     Both sides are put on a grid of that width; the right side is copied to the neighbouring squares, so the join
     is one of equal keys and no point meets another that is more than two squares away.
     """
+    by = by or []
     width = radius if radius > 0 else 1.0
     square = [F.floor(F.col(d) / width).alias(f"g_{d}") for d in dims]
-    l = left.select(F.struct(*left.columns).alias("a"), *square)
-    r = right.select(F.struct(*right.columns).alias("b"), *square)
+    same = [f"by_{c}" for c in by]
+    l = left.select(F.struct(*left.columns).alias("a"), *square, *[F.col(c).alias(s) for c, s in zip(by, same)])
+    r = right.select(F.struct(*right.columns).alias("b"), *square, *[F.col(c).alias(s) for c, s in zip(by, same)])
     shifts = F.array(*[F.struct(*[F.lit(s).cast("long").alias(f"s_{d}") for s, d in zip(step, dims)]) for step in product((-1, 0, 1), repeat=len(dims))])
-    r = r.withColumn("s", F.explode(shifts)).select("b", *[(F.col(f"g_{d}") + F.col(f"s.s_{d}")).alias(f"g_{d}") for d in dims])
-    return l.join(r, [f"g_{d}" for d in dims]).select("a", "b", _distance(dims).alias("distance")).where(F.col("distance") <= radius)
+    r = r.withColumn("s", F.explode(shifts)).select("b", *same, *[(F.col(f"g_{d}") + F.col(f"s.s_{d}")).alias(f"g_{d}") for d in dims])
+    return l.join(r, [*same, *[f"g_{d}" for d in dims]]).select("a", "b", _distance(dims).alias("distance")).where(F.col("distance") <= radius)
 
 
 def radius_graph(cells: DataFrame, radius: float, set_diag: bool = False) -> DataFrame:
@@ -202,13 +204,38 @@ def rbf_weights(cells: DataFrame, radius: float = 200.0, sigma: float = 100.0, k
 
 
 def nearest_distance(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """(cell_id, distance): how far the nearest target is. Targets (a border) are broadcast if they are few."""
-    from ..model import small
+    """(cell_id, distance): how far the nearest target is; see ``nearest_of``."""
+    return nearest_of(points, targets).select("cell_id", "distance")
 
+
+def nearest_of(points: DataFrame, targets: DataFrame, target_id: str = "cell_id") -> DataFrame:
+    """(cell_id, target, distance): the nearest target of every point, the lower id on a tie; without a target there are no rows.
+
+    Few targets are broadcast and compared with every point. Many are searched by a range join whose radius doubles for
+    the points that have not met one yet.
+    """
     dims = axes(points)
-    a = points.select(F.struct("cell_id", *dims).alias("a"))
-    b = small(targets.select(F.struct("cell_id", *dims).alias("b")), 100_000)
-    return a.crossJoin(b).groupBy("a").agg(F.min(_distance(dims)).alias("distance")).select("a.cell_id", "distance")
+    targets = targets.select(F.col(target_id).alias("cell_id"), *dims)
+    least = F.min(F.struct("distance", F.col("b.cell_id").alias("target"))).alias("m")
+    if targets.limit(ALL_PAIRS + 1).count() <= ALL_PAIRS:
+        a, b = points.select(F.struct("cell_id", *dims).alias("a")), targets.select(F.struct("cell_id", *dims).alias("b"))
+        return a.crossJoin(F.broadcast(b)).select("a", "b", _distance(dims).alias("distance")).groupBy("a").agg(least).select("a.cell_id", "m.target", "m.distance")
+    points, targets = cut(points.select("cell_id", *dims)), cut(targets)
+    both = points.select(*dims).unionAll(targets.select(*dims)).agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
+    spans = [both[d] for d in dims if both[d] > 0]
+    diagonal = math.sqrt(sum(x * x for x in spans)) or 1.0
+    radius = 1.5 * (math.prod(spans) / targets.count()) ** (1 / len(spans)) if spans else diagonal
+    found, open_ = None, points
+    while True:
+        radius = min(radius, diagonal)
+        met = cut(pairs_within(open_, targets, radius, dims).groupBy("a").agg(least).select("a.cell_id", "m.target", "m.distance"))
+        found = met if found is None else found.unionByName(met)
+        if radius >= diagonal:
+            return found
+        open_ = cut(open_.join(met, "cell_id", "left_anti"))
+        if open_.isEmpty():
+            return found
+        radius *= 2
 
 
 def hex_neighbors(cells: DataFrame) -> DataFrame:
@@ -222,5 +249,5 @@ def hex_neighbors(cells: DataFrame) -> DataFrame:
 
 def micrometres(cells: DataFrame) -> DataFrame:
     """``x_um`` and ``y_um`` of spots with ``array_row`` and ``array_col`` on a grid of 100 um pitch."""
-    top = F.max("array_row").over(Window.partitionBy())
-    return cells.withColumns({"x_um": F.col("array_col") * 0.5 * 100, "y_um": (top - F.col("array_row")) * (0.5 * math.sqrt(3) * 100)})
+    (top,) = cells.agg(F.max("array_row")).first()
+    return cells.withColumns({"x_um": F.col("array_col") * 0.5 * 100, "y_um": (F.lit(top) - F.col("array_row")) * (0.5 * math.sqrt(3) * 100)})
