@@ -36,7 +36,7 @@ STAGES = [
     ("best_fit_packing", _pack),
 ]
 
-#: A trained classifier and best-fit packing can't be put in SQL; tests hold the stages against brute force.
+#: A trained classifier and best-fit packing can't be put in SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
