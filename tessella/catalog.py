@@ -115,7 +115,7 @@ def _t_tail_sql(t: str, df: str, steps: int = 2000) -> str:
 def _normal_tail_sql(z: str, steps: int = 400) -> str:
     """Two-sided p of a standard normal by Simpson's rule."""
     share = f"CASE WHEN k IN (0, {steps}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
-    return f"(2 / sqrt(2 * pi()) * 8 / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda k: ({share}) * exp(-(abs({z}) + k * 8 / {steps})**2 / 2))))"
+    return f"(2 / sqrt(2 * pi()) * 8 / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda k: ({share}) * exp(-0.5 * pow(abs({z}) + k * 8 / {steps}, 2)))))"
 
 
 def _bh_sql(rows: str, p: str, by: str = "") -> str:
@@ -760,17 +760,11 @@ def downsample_cells(spark, d):
 def nnls_deconvolution(spark, d):
     a, l = _annotation(spark, d)
     e = _expr(spark, d)
-    ref = deconvolution.generate_reference(e, a, l)
+    ref = cut(deconvolution.generate_reference(e, a, l))
     sig = ref.withColumn("rn", F.row_number().over(Window.partitionBy("cell_type").orderBy(F.desc("value"), "gene_id"))).where("rn <= 50").select("cell_type", "gene_id")
     return deconvolution.deconvolve(e, _spots(spark, d), ref, l, sig)
 
 
-@query()
-def welch_markers(spark, d):
-    a, _ = _annotation(spark, d)
-    return deconvolution.welch_markers(expression.log2_tpm(_expr(spark, d)), a.select("cell_id", (F.col("cell_id") % 2).cast("string").alias("group")), "1", least_fc=0.0, fdr=1.1)
-
-
 @query()
 def ridge_activity(spark, d):
     sig = _t(spark, d, "part").select(F.col("p_partkey").alias("gene_id"), F.col("p_brand").alias("protein"), (F.col("p_size") / 50).alias("weight"))
@@ -812,3 +806,6 @@ def event_sessions(spark, d):
     return streaming.sessions(_t(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+
+
+from . import catalog_spots  # noqa: E402, F401  adds its queries to this one's

@@ -215,6 +215,7 @@ def deconvolve(expr: DataFrame, cells: DataFrame, reference: DataFrame, lineage:
     spot is Unidentifiable.
     """
     spark = expr.sparkSession
+    reference = cut(reference)
     genes = reference.select("gene_id").distinct().join(expr.select("gene_id").distinct(), "gene_id").orderBy("gene_id").toPandas()["gene_id"].to_numpy()
     ref = reference.toPandas().pivot_table(index="gene_id", columns="cell_type", values="value", fill_value=0.0).reindex(genes, fill_value=0.0)
     ref = ref / ref.sum().replace(0, 1) * 1e6

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from ..model import cut, hash_order, ratio, small
 
 
+#: Edges that one task takes to find components, and that a graph may have to be sent to every task.
+LOCAL = 5_000_000
+MOST = 50_000_000
+
+
 def strength(edges: DataFrame) -> DataFrame:
     """(node, strength): sum of weights by source."""
     return edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("strength"))
@@ -71,10 +76,14 @@ def subsample(nodes: DataFrame, edges: DataFrame, n: int, seed: int = 0) -> tupl
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(cell_id, component): the least id that can be reached, edges taken either way.
 
-    Every round takes the least label among the neighbours and follows one label further, so that long chains
-    shrink by half; it ends when no label changes.
+    Up to ``LOCAL`` edges are worked on by one task, in memory. Of more, every round takes the least label among the
+    neighbours and follows one label further, so that long chains shrink by half; it ends when no label changes.
     """
-    both = cut(edges.where("src <> dst").select("src", "dst").unionAll(edges.where("src <> dst").select("dst", "src")).distinct())
+    once = cut(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    if once.count() <= LOCAL:
+        found = once.groupBy(F.lit("all")).applyInPandas(_components, "cell_id long, component long")
+        return nodes.select("cell_id").join(found, "cell_id", "left").select("cell_id", F.coalesce("component", "cell_id").alias("component"))
+    both = once.unionAll(once.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     labels = nodes.select("cell_id", F.col("cell_id").alias("component"))
     while True:
         near = both.join(labels.select(F.col("cell_id").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("near"))
@@ -86,6 +95,22 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _components(edges: pd.DataFrame) -> pd.DataFrame:
+    names, at = np.unique(edges[["src", "dst"]].to_numpy(), return_inverse=True)
+    at = at.reshape(-1, 2)
+    label = np.arange(len(names))
+    while True:
+        low = label[at].min(axis=1)
+        new = label.copy()
+        for end in (0, 1):
+            np.minimum.at(new, at[:, end], low)
+            np.minimum.at(new, label[at[:, end]], low)
+        new = new[new]
+        if (new == label).all():
+            return pd.DataFrame({"cell_id": names, "component": names[label]})
+        label = new
+
+
 def hops(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(src, dst, hops) for all pairs that are connected, by breadth-first search from all nodes at once, level by level."""
     step = small(cut(edges.where("src <> dst").select(F.col("src").alias("via"), F.col("dst").alias("next")).distinct()))
@@ -112,8 +137,11 @@ def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, seed: int = 0) -> DataFrame:
     """(cell_id, betweenness), normalised; from all sources, or from ``pivots`` of them in order of a hash.
 
-    The searches of different sources run in different tasks over the broadcast graph, which has to fit in a task.
+    The searches of different sources run in different tasks over the broadcast graph, which has to fit in a task: one of
+    more than ``MOST`` edges is an error.
     """
+    if edges.count() > MOST:
+        raise ValueError(f"betweenness is for graphs of at most {MOST} edges")
     names = nodes.select("cell_id").orderBy("cell_id").toPandas()["cell_id"].to_numpy()
     e = edges.where("src <> dst").select("src", "dst").distinct().toPandas()
     n = len(names)

@@ -6,10 +6,12 @@ Points come as (cell_id, x, y [, z]); graphs go as edges (src, dst, weight, dist
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +71,7 @@ def _diagonal(edges: DataFrame, cells: DataFrame) -> DataFrame:
 def nearest(cells: DataFrame, k: int) -> DataFrame:
     """(src, dst, distance): the ``k`` nearest others of every point, fewer if there are not so many; ties to the lower id.
 
-    Few points are compared all with all. Many are searched by a range join whose radius doubles for the points
+    Few points are sent to every task and compared all with all. Many are searched by a range join whose radius doubles for the points
     that have not found ``k`` others yet; what lies within the radius is then complete, so the result is exact.
     """
     dims = axes(cells)
@@ -84,10 +86,25 @@ def nearest(cells: DataFrame, k: int) -> DataFrame:
         return pairs.where("src <> dst").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
 
     if n <= ALL_PAIRS:
-        a = points.select(F.struct("cell_id", *dims).alias("a"))
-        b = points.select(F.struct("cell_id", *dims).alias("b"))
-        pairs = a.join(F.broadcast(b)).select("a", "b", _distance(dims).alias("distance")).select(*shape)
-        return top(pairs).drop("rn")
+        all_ = points.toPandas().sort_values("cell_id")
+        shared = cells.sparkSession.sparkContext.broadcast((all_["cell_id"].to_numpy(), all_[dims].to_numpy(float)))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, at = shared.value
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    own = b.column(0).to_numpy()[lo : lo + 256]
+                    mine = np.column_stack([b.column(1 + i).to_numpy()[lo : lo + 256] for i in range(len(dims))])
+                    d2 = np.zeros((len(own), len(ids)))
+                    for i in range(len(dims)):
+                        d2 += (mine[:, i][:, None] - at[:, i][None, :]) ** 2
+                    far = np.sqrt(d2)
+                    far[own[:, None] == ids[None, :]] = np.inf
+                    best = np.argsort(far, axis=1, kind="stable")[:, :k]  # in order of ids where distances tie
+                    src = np.repeat(own, best.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(ids[best.ravel()]), pa.array(np.take_along_axis(far, best, axis=1).ravel())], names=["src", "dst", "distance"])
+
+        return points.select(F.col("cell_id").cast("long"), *[F.col(d).cast("double") for d in dims]).mapInArrow(compare, "src long, dst long, distance double")
     spans = [max(stats[f"hi_{d}"] - stats[f"lo_{d}"], 0.0) for d in dims]
     diagonal = math.sqrt(sum(s * s for s in spans)) or 1.0
     solid = [s for s in spans if s > 0]
