@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .catalog import CELLS, EXPR, FRACTIONS, GRID, HEX, INTERFACE, LOW, PX, SPOTS, TOTAL, URGENT, R, _annotation, _bh_sql, _cells, _expr, _fractions, _grid, _hex, _normal_tail_sql, _pixels, _px, _rounded, _spots, _t, _t_tail_sql, query
+from .catalog import CCC, CELLS, EXPR, FLOW, FRACTIONS, GRID, HEX, INTERFACE, LOW, PX, SPOTS, TOTAL, URGENT, R, _annotation, _bh_sql, _cells, _expr, _fractions, _grid, _hex, _normal_tail_sql, _pixels, _px, _rounded, _signals, _spots, _t, _t_tail_sql, query
 from .functions import stats
-from .operators import deconvolution, expression, graph, interaction, raster, signaling
+from .operators import deconvolution, expression, graph, interaction, raster, signaling, spatial
 from .plans import deconvolution as plans
 from .plans import plotdata
 
@@ -224,3 +224,33 @@ def combined_masks(spark, d):
 def weighted_fit(spark, d):
     p = _t(spark, d, "part").select("p_size", "p_retailprice", (1 + F.col("p_partkey") % 5).cast("double").alias("w"))
     return _rounded(_rounded(plotdata.linear_fit(p, "p_size", "p_retailprice", "w"), "slope"), "intercept", places=4)
+
+
+@query(f"""WITH {CCC}, s AS (SELECT 'sender' AS side, sender AS name FROM ccc UNION ALL SELECT 'protein', protein FROM ccc UNION ALL SELECT 'receiver', receiver FROM ccc), n AS (SELECT side, name, count(*) AS n FROM s GROUP BY ALL),
+  h AS (SELECT *, n / sum(n) OVER (PARTITION BY side) AS height, row_number() OVER w - 1 AS k FROM n WINDOW w AS (PARTITION BY side ORDER BY n DESC, name))
+  SELECT side, name, n, round(height, 6) AS height, round(sum(height) OVER (PARTITION BY side ORDER BY k) - height / 2 + k * 0.02, 6) AS y_center FROM h""")
+def sankey_nodes(spark, d):
+    c, e, v = _signals(spark, d)
+    return _rounded(plotdata.sankey_nodes(signaling.ccc_counts(c, "cluster", e, v, R)), "height", "y_center")
+
+
+@query(f"""WITH {FLOW}, p AS (SELECT cell_id AS pid, x AS px, y AS py, (cell_id % 11)::DOUBLE AS value FROM cells WHERE cell_id % 4 = 0),
+  k AS (SELECT v.cell_id, pid, value, row_number() OVER (PARTITION BY v.cell_id ORDER BY sqrt((x - px)**2 + (y - py)**2), pid) AS rn FROM v, p) SELECT cell_id, value AS intensity FROM k WHERE rn = 1""")
+def arrow_intensity(spark, d):
+    c = _cells(spark, d)
+    e, a = c.select("cell_id", (F.col("cell_id") % 5).cast("double").alias("value")), c.select("cell_id", (F.col("cell_id") % 7 - 3).cast("double").alias("value"))
+    arrows = signaling.velocity_arrows(signaling.velocity(spatial.radius_graph(c, R), c, e, a))
+    points = c.where("cell_id % 4 = 0").select("cell_id", "x", "y", (F.col("cell_id") % 11).cast("double").alias("value"))
+    return plotdata.arrow_intensity(arrows, points).select("cell_id", "intensity")
+
+
+@query(f"WITH {HEX}, {INTERFACE} SELECT cell_id, c::DOUBLE AS x, r::DOUBLE AS y, label FROM hex JOIN lab USING (cell_id)")
+def interface_plot(spark, d):
+    cells, f = _hex(spark, d)
+    return plotdata.interface(cells, interaction.interface(cells, f))
+
+
+@query(f"WITH {SPOTS} SELECT cell_id, x, y, feature, value FROM (SELECT s.cell_id, s.x, s.y, s.cluster, s_name AS name FROM spots s JOIN supplier ON s_suppkey = s.cell_id) UNPIVOT (value FOR feature IN (cluster, name))")
+def metadata_plot(spark, d):
+    names = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id"), F.col("s_name").alias("name"))
+    return plotdata.metadata(_spots(spark, d).join(names, "cell_id"), ["cluster", "name"])

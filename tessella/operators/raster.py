@@ -92,9 +92,9 @@ def matches(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5) -> D
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         used_p, used_t, keep = set(), set(), []
-        for i, r in pdf.sort_values(["iou", "predicted", "truth"], ascending=[False, True, True]).iterrows():
-            if r["predicted"] not in used_p and r["truth"] not in used_t:
-                used_p.add(r["predicted"]), used_t.add(r["truth"]), keep.append(i)
+        for i, p, t in pdf.sort_values(["iou", "predicted", "truth"], ascending=[False, True, True])[["predicted", "truth"]].itertuples():
+            if p not in used_p and t not in used_t:
+                used_p.add(p), used_t.add(t), keep.append(i)
         return pdf.loc[keep]
 
     return pairs.groupBy(F.lit("all")).applyInPandas(greedy, "predicted int, truth int, iou double")
@@ -209,6 +209,25 @@ def segment_tiles(tiles: DataFrame, model: Callable[[np.ndarray], np.ndarray]) -
     return tiles.mapInPandas(run, "image_id long, top int, left int, row int, col int, label int")
 
 
+def segment_images(images: DataFrame, model: Callable[[np.ndarray], np.ndarray], tile: int = 512, overlap: int = 64, least: float = 0.5) -> DataFrame:
+    """(image_id, row, col, label) from float64 images (image_id, h, w, data BINARY), from grid to merged mask.
+
+    ``model`` labels one tile at a time; tiles are merged in order, and a cell in the overlap of two is one cell. An
+    image is worked on by one task, which holds its pixels and its mask; images are dealt to tasks.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for im in b.itertuples():
+                image = np.frombuffer(im.data, np.float64).reshape(im.h, im.w)
+                tiles = [(r, c, np.asarray(model(image[r : r + tile, c : c + tile]), np.int32)) for r, c in tile_grid(im.h, im.w, tile, overlap)]
+                mask = merge_tiles(tiles, (im.h, im.w), least)
+                r, c = np.nonzero(mask)
+                yield pd.DataFrame({"image_id": im.image_id, "row": r.astype(np.int32), "col": c.astype(np.int32), "label": mask[r, c]})
+
+    return images.select("image_id", "h", "w", "data").mapInPandas(run, "image_id long, row int, col int, label int")
+
+
 def threshold_model(level: float) -> Callable[[np.ndarray], np.ndarray]:
     """A model that labels the 4-connected parts of what is brighter than ``level``."""
 

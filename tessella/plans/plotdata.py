@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import require
 from ..operators.expression import quality_control, scaled_feature
 from ..operators.interaction import most_abundant
+from ..operators.spatial import nearest_of
 
 
 def quality(cells: DataFrame, expr: DataFrame) -> DataFrame:
@@ -29,6 +33,89 @@ def abundant_type(cells: DataFrame, fraction: DataFrame) -> DataFrame:
     return cells.select("cell_id", "x", "y").join(most_abundant(fraction), "cell_id")
 
 
+def _at_cells(cells: DataFrame, values: DataFrame, name: str, wanted: list | None) -> DataFrame:
+    """Values (cell_id, name, ...) with the place of their cell, of all features or the wanted ones that there are."""
+    some = values if wanted is None else values.where(F.col(name).isin(wanted))
+    return cells.select("cell_id", "x", "y").join(some, "cell_id")
+
+
+def interface(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cell_id, x, y, label): the kind of every spot beside the tumour's edge."""
+    return cells.select("cell_id", "x", "y").join(labels.select("cell_id", "label"), "cell_id")
+
+
+def gene_set_scores(cells: DataFrame, scores: DataFrame, sets: list[str] | None = None) -> DataFrame:
+    """(cell_id, x, y, set_name, score)"""
+    return _at_cells(cells, scores.select("cell_id", "set_name", "score"), "set_name", sets)
+
+
+def activity(cells: DataFrame, activities: DataFrame, proteins: list[str] | None = None) -> DataFrame:
+    """(cell_id, x, y, protein, zscore)"""
+    return _at_cells(cells, activities.select("cell_id", "protein", "zscore"), "protein", proteins)
+
+
+def patterns(cells: DataFrame, weights: DataFrame, wanted: list[int | str] | None = None) -> DataFrame:
+    """(cell_id, x, y, pattern, weight); ``All`` among the wanted patterns means all."""
+    return _at_cells(cells, weights.select("cell_id", "pattern", "weight"), "pattern", None if wanted is not None and "All" in wanted else wanted)
+
+
+def metadata(cells: DataFrame, features: list[str]) -> DataFrame:
+    """(cell_id, x, y, feature, value): columns of the cells as rows, values as text; an unknown one is an error."""
+    require(cells, "cell_id", "x", "y", *features)
+    return cells.select("cell_id", "x", "y", *[F.col(f).cast("string").alias(f) for f in features]).unpivot(["cell_id", "x", "y"], features, "feature", "value")
+
+
+def sankey_nodes(ccc: DataFrame, gap: float = 0.02) -> DataFrame:
+    """(side, name, n, height, y_center) of senders, proteins and receivers: stacked from 0 by their number, the largest first, a gap between them."""
+    sides = None
+    for side, c in (("sender", "sender"), ("protein", "protein"), ("receiver", "receiver")):
+        one = ccc.groupBy(F.lit(side).alias("side"), F.col(c).alias("name")).agg(F.count("*").alias("n"))
+        sides = one if sides is None else sides.unionByName(one)
+    order = Window.partitionBy("side").orderBy(F.desc("n"), "name")  # a row for each node of the drawing
+    height = F.col("n") / F.sum("n").over(Window.partitionBy("side"))
+    nodes = sides.withColumns({"height": height, "k": F.row_number().over(order) - 1})
+    below = F.sum("height").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("height") + F.col("k") * gap
+    return nodes.select("side", "name", "n", "height", (below + F.col("height") / 2).alias("y_center"))
+
+
+def arrow_intensity(arrows: DataFrame, points: DataFrame) -> DataFrame:
+    """Arrows with ``intensity``: the value of the point (cell_id, x, y, value) nearest to where they start."""
+    starts = arrows.select("cell_id", F.col("x_start").alias("x"), F.col("y_start").alias("y"))
+    near = nearest_of(starts.distinct(), points).select("cell_id", F.col("target").alias("__t"))
+    return arrows.join(near, "cell_id").join(points.select(F.col("cell_id").alias("__t"), F.col("value").alias("intensity")), "__t").drop("__t")
+
+
+def contour(points: DataFrame, n_grid: int = 80, smoothing: float = 0.05) -> DataFrame:
+    """(row, col, x, y, value): points (x, y, value) smoothed by a thin plate onto a square grid over their box, values below 0 cut off.
+
+    ``smoothing`` is a share of the longer side of the box. One task solves a system of as many equations as there are points.
+    """
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y", "value"])
+        at, v = pdf[["x", "y"]].to_numpy(float), pdf["value"].to_numpy(float)
+        low, high = at.min(axis=0), at.max(axis=0)
+        mid, half = (low + high) / 2, np.where(high > low, (high - low) / 2, 1.0)
+
+        def plate(a: np.ndarray) -> np.ndarray:
+            r2 = ((a[:, None] - at[None]) ** 2).sum(-1)
+            return 0.5 * r2 * np.log(np.maximum(r2, 1e-300))
+
+        def plane(a: np.ndarray) -> np.ndarray:
+            return np.column_stack([np.ones(len(a)), (a - mid) / half])
+
+        p, n = plane(at), len(at)
+        system = np.block([[plate(at) + smoothing * float((high - low).max()) * np.eye(n), p], [p.T, np.zeros((3, 3))]])
+        c = np.linalg.lstsq(system, np.r_[v, np.zeros(3)], rcond=None)[0]
+        xs, ys = (np.linspace(low[i], high[i], n_grid) for i in (0, 1))
+        grid = np.array([(x, y) for y in ys for x in xs])
+        z = np.maximum(plate(grid) @ c[:n] + plane(grid) @ c[n:], 0)
+        place = np.arange(n_grid * n_grid)
+        return pd.DataFrame({"row": place // n_grid, "col": place % n_grid, "x": grid[:, 0], "y": grid[:, 1], "value": z})
+
+    return points.select("x", "y", "value").groupBy(F.lit("all")).applyInPandas(solve, "row int, col int, x double, y double, value double")
+
+
 def lr_score(scores: DataFrame) -> DataFrame:
     """(cell_id, score, log_p): the network score clipped to [0.5, 1.5] and -log10 p."""
     return scores.select("cell_id", F.least(F.greatest("score", F.lit(0.5)), F.lit(1.5)).alias("score"), (-F.log10(F.greatest("p", F.lit(1e-300)))).alias("log_p"))

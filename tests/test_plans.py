@@ -81,3 +81,42 @@ def test_helpers(spark):
     assert chunked(spark.range(10), lambda b: b * 2, "id long", 3).agg(F.sum("id")).first()[0] == 90
     t = timing.benchmark(lambda: spark.range(5), n_runs=2, name="x")
     assert len(t.times) == 2 and "| x |" in timing.table({"x": t}) and t.speedup_over(t) == 1.0
+
+
+def test_projections_of_features(spark):
+    cells = spark.createDataFrame([(1, 0.0, 1.0, "a"), (2, 2.0, 3.0, "b")], "cell_id long, x double, y double, kind string")
+    scores = spark.createDataFrame([(1, "s", 0.5), (1, "t", 0.1), (2, "s", 0.2)], "cell_id long, set_name string, score double")
+    assert sorted((r.cell_id, r.x, r.score) for r in plotdata.gene_set_scores(cells, scores, ["s", "none"]).collect()) == [(1, 0.0, 0.5), (2, 2.0, 0.2)]
+    act = scores.withColumnsRenamed({"set_name": "protein", "score": "zscore"})
+    assert plotdata.activity(cells, act).count() == 3 and plotdata.activity(cells, act, ["t"]).count() == 1
+    w = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.1)], "cell_id long, pattern int, weight double")
+    assert plotdata.patterns(cells, w, [1]).first().weight == 0.1 and plotdata.patterns(cells, w, ["All"]).count() == 2
+    assert sorted((r.cell_id, r.feature, r.value) for r in plotdata.metadata(cells, ["kind"]).collect()) == [(1, "kind", "a"), (2, "kind", "b")]
+    with pytest.raises(KeyError):
+        plotdata.metadata(cells, ["none"])
+
+
+def test_contour_is_a_smoothed_surface(spark):
+    rng = np.random.default_rng(3)
+    at = rng.uniform(0, 10, (150, 2))
+    plane = 3 + 0.5 * at[:, 0] + 0.2 * at[:, 1]
+    rows = lambda v: spark.createDataFrame([(float(x), float(y), float(z)) for (x, y), z in zip(at, v)], "x double, y double, value double")
+    got = plotdata.contour(rows(plane), 12).toPandas()
+    assert len(got) == 144 and np.abs(got["value"] - (3 + 0.5 * got["x"] + 0.2 * got["y"])).max() < 1e-6
+    hill = plotdata.contour(rows(np.exp(-((at - 5) ** 2).sum(1) / 4) - 0.1), 21, 0.001).toPandas()
+    top = hill.loc[hill["value"].idxmax()]
+    assert abs(top["x"] - 5) < 1 and abs(top["y"] - 5) < 1 and (hill["value"] >= 0).all()
+
+
+def test_images_are_segmented_from_grid_to_mask(spark):
+    from tessella.operators import raster
+
+    image = np.zeros((90, 70))
+    for k, (r, c) in enumerate([(3, 4), (28, 30), (60, 33), (75, 58), (31, 8)]):
+        image[r : r + 6, c : c + 6] = k + 1.0
+    frames = spark.createDataFrame([(i, 90, 70, bytearray((image * (i + 1)).tobytes())) for i in range(2)], "image_id long, h int, w int, data binary")
+    out = raster.segment_images(frames, raster.threshold_model(0.5), 32, 12).toPandas()
+    whole = raster.threshold_model(0.5)(image)
+    for _, part in out.groupby("image_id"):
+        pairs = {(int(a), int(b)) for a, b in zip(part["label"], whole[part["row"], part["col"]])}
+        assert len(part) == (whole > 0).sum() and len(pairs) == 5 and len({a for a, _ in pairs}) == 5
