@@ -464,8 +464,7 @@ def _lr(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lr_network_score(spark, d):
-    few = _lr(spark, d).where("ligand <= 150")
-    return interaction.lr_network_score(_expr(spark, d), _spots(spark, d), few, 20)
+    return interaction.lr_network_score(_expr(spark, d), _spots(spark, d), _lr(spark, d))
 
 
 HEX = "hex AS (SELECT s_suppkey AS cell_id, s_suppkey // 10 AS r, (s_suppkey % 10) * 2 + (s_suppkey // 10) % 2 AS c, (s_acctbal + 1000) / 11000 AS f FROM supplier)"
@@ -768,13 +767,13 @@ def nnls_deconvolution(spark, d):
 @query()
 def ridge_activity(spark, d):
     sig = _t(spark, d, "part").select(F.col("p_partkey").alias("gene_id"), F.col("p_brand").alias("protein"), (F.col("p_size") / 50).alias("weight"))
-    return signaling.ridge_activity(expression.log2_tpm(_expr(spark, d)), sig, n_perms=10)
+    return signaling.ridge_activity(expression.log2_tpm(_expr(spark, d)), sig)
 
 
 @query()
 def nmf_patterns(spark, d):
-    act = _expr(spark, d).where("gene_id <= 40").select("cell_id", F.col("gene_id").cast("string").alias("protein"), F.col("value").alias("zscore"))
-    return deconvolution.signaling_patterns(act, 3, 100)[1]
+    act = _few(spark, d).select("cell_id", F.col("gene_id").cast("string").alias("protein"), F.col("value").alias("zscore"))
+    return deconvolution.signaling_patterns(act, [2, 3, 4])[1]
 
 
 @query()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import ratio
+from ..model import cut, ratio
 
 
 def average_rank(partition: list[str], value: str) -> Column:
@@ -21,8 +21,19 @@ def average_rank(partition: list[str], value: str) -> Column:
 
 
 def bh_adjust(df: DataFrame, p: str, by: list[str] | None = None, out: str = "p_adj") -> DataFrame:
-    """Benjamini-Hochberg: the running least of p n / rank from the largest p down, at most 1. Null p stay null."""
-    by = by or []
+    """Benjamini-Hochberg: the running least of p n / rank from the largest p down, at most 1. Null p stay null.
+
+    Equal p have one adjusted value, so that ranks are taken over distinct p with their counts; rows only meet theirs in
+    a join. Within groups ``by`` the rows of a group are ranked together.
+    """
+    if not by:
+        rows = cut(df)
+        sizes = rows.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__k"))
+        up = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+        down = Window.orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = sizes.withColumns({"__rank": F.sum("__k").over(up), "__n": F.sum("__k").over(Window.partitionBy())})
+        value = F.least(F.min(F.col("__p") * F.col("__n") / F.col("__rank")).over(down), F.lit(1.0))
+        return rows.join(ranked.select("__p", value.alias(out)), F.col(p) == F.col("__p"), "left").drop("__p")
     known = F.col(p).isNotNull()
     rank = F.row_number().over(Window.partitionBy(*by, known).orderBy(p))
     n = F.count("*").over(Window.partitionBy(*by, known))
