@@ -78,13 +78,13 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def dense_index(df: DataFrame, key: str = "cell_id") -> DataFrame:
-    """(key, idx): the keys of ``df`` numbered from 0 in their order, by ranges: no task sorts all of them."""
-    parts = df.select(key).repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id())
+def dense_index(df: DataFrame, key: str = "cell_id", *keep: str) -> DataFrame:
+    """(key, keep..., idx): the keys of ``df`` numbered from 0 in their order, by ranges: no task sorts all of them."""
+    parts = df.select(key, *keep).repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id())
     parts = cut(parts)
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
     first = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))  # a row for each partition
-    return parts.join(F.broadcast(first), "part").select(key, (F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1 + F.col("first")).alias("idx"))
+    return parts.join(F.broadcast(first), "part").select(key, *keep, (F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1 + F.col("first")).alias("idx"))
 
 
 _PRIME = 2_147_483_647

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import order_statistics
-from ..model import ratio
+from ..model import ratio, small
 
 
 def quality_control(cells: DataFrame, expr: DataFrame, min_genes: int = 1) -> DataFrame:
@@ -90,7 +90,7 @@ def ucell(expr: DataFrame, cells: DataFrame, genes: DataFrame, sets: DataFrame)
     members = sets.join(genes.select("gene_id").distinct(), "gene_id", "left_semi").select("set_name", "gene_id").distinct()
     sizes = sets.select("set_name").distinct().join(members.groupBy("set_name").agg(F.count("*").alias("size")), "set_name", "left").fillna(0, ["size"])
     hits = ranked.join(members, "gene_id").groupBy("cell_id", "set_name").agg(F.sum("rank").alias("sum_rank"), F.count("*").alias("hits"))
-    full = cells.select("cell_id").crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(n_genes)).join(stored, "cell_id", "left").join(hits, ["cell_id", "set_name"], "left").fillna(0, ["stored", "hits", "sum_rank"])
+    full = cells.select("cell_id").crossJoin(small(sizes)).crossJoin(F.broadcast(n_genes)).join(stored, "cell_id", "left").join(hits, ["cell_id", "set_name"], "left").fillna(0, ["stored", "hits", "sum_rank"])
     zero_rank = F.col("stored") + (F.col("n_genes") - F.col("stored") + 1) / 2.0
     mean = ratio(F.col("sum_rank") + (F.col("size") - F.col("hits")) * zero_rank, F.col("size"))
     score = F.when(F.col("size") == 0, 0.0).otherwise(1 - mean / F.col("n_genes"))

@@ -8,17 +8,25 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import null_nan
+from ..model import cut, dense_index, null_nan, small
 from ..operators.spatial import micrometres
 
 Tables = dict[str, DataFrame]
 _POSITIONS = "barcode string, in_tissue int, array_row int, array_col int, pxl_row double, pxl_col double"
 
 
-def _numbered(lines: DataFrame, name: str) -> DataFrame:
-    """Lines of one text file with their place: Spark keeps their order, but not their numbers."""
-    schema = f"{name} long, value string"
-    return lines.rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0])).toDF(schema)
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(value, block, k) of the lines of one text file; (block, k) is in their order: where the split begins, and a count within it."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"))
+
+
+def _numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(name, value): lines of one text file with their place from 0; lines are counted by split, so that no task has all of them."""
+    lines = cut(_placed(spark, path))
+    sizes = lines.groupBy("block").agg(F.count("*").alias("n"))
+    first = sizes.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("first"))  # a row for each split
+    place = F.row_number().over(Window.partitionBy("block").orderBy("k")) - 1 + F.col("first")
+    return lines.join(F.broadcast(first), "block").select(place.alias(name), "value")
 
 
 def _wide(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +47,7 @@ def melt(wide: DataFrame, id_col: str, skip: tuple[str, ...] = ()) -> Tables:
     """Cells, genes and nonzero counts of a table with one column a gene."""
     names = [c for c in wide.columns if c != id_col and c not in skip]
     cells = wide.select(F.col(id_col).cast("string").alias("cell_name")).distinct()
-    cells = cells.withColumn("cell_id", F.row_number().over(Window.orderBy("cell_name")).cast("long") - 1)
+    cells = cut(dense_index(cells, "cell_name").withColumnRenamed("idx", "cell_id"))
     genes = wide.sparkSession.createDataFrame(list(enumerate(names)), "gene_id long, gene_name string")
     long = wide.select(F.col(id_col).cast("string").alias("cell_name"), *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).unpivot(["cell_name"], names, "gene_name", "value")
     expr = long.where("value <> 0").join(F.broadcast(genes), "gene_name").join(cells, "cell_name").select("cell_id", "gene_id", "value")
@@ -53,17 +61,17 @@ def _located(tables: Tables, where: DataFrame, how: str = "left") -> Tables:
 def read_mtx(spark: SparkSession, folder: str) -> Tables:
     """MatrixMarket triples with features and barcodes, gzipped or not; a gene's name is its second field."""
     root = Path(folder)
-    triples = spark.read.text(_first(root, "matrix.mtx*")).where(~F.col("value").startswith("%"))
+    triples = _placed(spark, _first(root, "matrix.mtx*")).where(~F.col("value").startswith("%"))
+    # the first line that is no remark holds the size
+    head = triples.agg(F.min(F.struct("block", "k")).alias("m")).select("m.block", "m.k").first()
     part = F.split("value", r"\s+")
-    rows = triples.where(F.size(part) == 3).select(part[0].cast("long").alias("i"), part[1].cast("long").alias("j"), part[2].cast("double").alias("value"))
-    # the first line holds the size: no entry has a position equal to both bounds and the number of entries as its value
-    head = spark.read.text(_first(root, "matrix.mtx*")).where(~F.col("value").startswith("%")).first()["value"].split()
-    sized = (F.col("i") == int(head[0])) & (F.col("j") == int(head[1])) & (F.col("value") == float(head[2]))
-    features = _numbered(spark.read.text(_first(root, "features.tsv*", "genes.tsv*")), "gene_id")
+    entry = (F.size(part) == 3) & ((F.col("block") != head["block"]) | (F.col("k") != head["k"]))
+    rows = triples.where(entry).select(part[0].cast("long").alias("i"), part[1].cast("long").alias("j"), part[2].cast("double").alias("value"))
+    features = _numbered(spark, _first(root, "features.tsv*", "genes.tsv*"), "gene_id")
     fields = F.split("value", "\t")
     genes = features.select("gene_id", F.coalesce(F.try_element_at(fields, F.lit(2)), fields[0]).alias("gene_name"))
-    cells = _numbered(spark.read.text(_first(root, "barcodes.tsv*")), "cell_id").select("cell_id", F.col("value").alias("cell_name"))
-    expr = rows.where(~sized & (F.col("value") != 0)).select((F.col("j") - 1).alias("cell_id"), (F.col("i") - 1).alias("gene_id"), "value")
+    cells = _numbered(spark, _first(root, "barcodes.tsv*"), "cell_id").select("cell_id", F.col("value").alias("cell_name"))
+    expr = rows.where("value <> 0").select((F.col("j") - 1).alias("cell_id"), (F.col("i") - 1).alias("gene_id"), "value")
     return {"cells": cells, "genes": genes, "expr": expr}
 
 
@@ -148,7 +156,7 @@ def create_spots(counts: DataFrame, coordinates: DataFrame) -> Tables:
     cells = spark.createDataFrame(list(enumerate(spots)), "cell_id long, cell_name string")
     if not cells.select("cell_name").exceptAll(named.select("cell_name")).isEmpty() or not named.select("cell_name").exceptAll(cells.select("cell_name")).isEmpty():
         raise ValueError("counts and coordinates hold different spots")
-    genes = counts.select(F.col(gene).alias("gene_name")).withColumn("gene_id", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long") - 1)
+    genes = cut(dense_index(counts.select(F.col(gene).alias("gene_name"), F.monotonically_increasing_id().alias("k")), "k", "gene_name").select("gene_name", F.col("idx").alias("gene_id")))
     long = counts.unpivot([gene], spots, "cell_name", "value").where("value <> 0")
     expr = long.join(genes, F.col(gene) == F.col("gene_name")).join(F.broadcast(cells), "cell_name").select("cell_id", "gene_id", F.col("value").cast("double").alias("value"))
     return {"cells": cells.join(named, "cell_name"), "genes": genes.select("gene_id", "gene_name"), "expr": expr}
@@ -161,7 +169,7 @@ def _xy(df: DataFrame) -> list[str]:
 
 def read_gmt(spark: SparkSession, path: str) -> DataFrame:
     """(set_name, genes) of lines with a name, a description and at least one gene; of equal names the last."""
-    lines = _numbered(spark.read.text(str(path)), "line")
+    lines = _numbered(spark, str(path), "line")
     f = F.split(F.rtrim("value"), "\t")
     sets = lines.where(F.size(f) >= 3).select("line", f[0].alias("set_name"), F.filter(F.slice(f, 3, F.size(f)), lambda g: g != "").alias("genes"))
     return sets.groupBy("set_name").agg(F.max_by("genes", "line").alias("genes"))
@@ -169,7 +177,7 @@ def read_gmt(spark: SparkSession, path: str) -> DataFrame:
 
 def gene_sets(gmt: DataFrame, genes: DataFrame) -> DataFrame:
     """(set_name, gene_id) of the genes that are in the data."""
-    return gmt.select("set_name", F.explode("genes").alias("gene_name")).join(F.broadcast(genes), "gene_name").select("set_name", "gene_id").distinct()
+    return gmt.select("set_name", F.explode("genes").alias("gene_name")).join(small(genes), "gene_name").select("set_name", "gene_id").distinct()
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
