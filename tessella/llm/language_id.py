@@ -21,40 +21,52 @@ MARGIN = 0.02
 UNKNOWN = "und"
 
 
-def _drawn(docs: DataFrame, sample: int, folds: int) -> pd.DataFrame:
-    """(fold, lang, rn, text): of each language and fold, the ``sample`` labelled texts of the least hash of their id."""
+def _drawn(docs: DataFrame, sample: int, size: int, folds: int) -> pd.DataFrame:
+    """(fold, lang, text) in order: of the ``sample`` labelled texts of each language and fold whose id has the least hash, those that ``fitting`` takes.
+
+    Their sizes come to the driver first, and then only the texts that are taken.
+    """
     h = F.xxhash64("text")
     rows = docs.where("lang is not null and text is not null and doc_id is not null")
-    rows = rows.select(F.pmod(h, F.lit(folds)).alias("fold"), "lang", "doc_id", h.alias("h"), "text")
+    rows = rows.select(F.pmod(h, F.lit(folds)).alias("fold"), F.col("lang").cast("string").alias("lang"), "doc_id", h.alias("h"), "text")
     pick = Window.partitionBy("fold", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
-    ids = rows.select("fold", "lang", "doc_id", "h").distinct().withColumn("rn", F.row_number().over(pick)).where(F.col("rn") <= sample)
+    ids = rows.select("fold", "lang", "doc_id", "h", (F.octet_length(F.lower("text")) + 1).alias("bytes")).distinct()
+    ids = ids.withColumn("rn", F.row_number().over(pick)).where(F.col("rn") <= sample).toPandas()
+    taken = [part.iloc[fitting(part["h"].tolist(), part["bytes"].tolist(), size)] for _, part in ids.sort_values(["fold", "lang", "rn"]).groupby(["fold", "lang"])]
+    if not taken:
+        return pd.DataFrame({"fold": [], "lang": [], "text": []})
+    keys = docs.sparkSession.createDataFrame(pd.concat(taken)[["lang", "doc_id", "h", "rn"]], "lang string, doc_id long, h long, rn int")
     # at most ``sample`` ids a language and fold
-    got = rows.join(F.broadcast(ids.select("lang", "doc_id", "h", "rn")), ["lang", "doc_id", "h"])
-    return got.select("fold", "lang", "rn", "text").distinct().toPandas().sort_values(["fold", "lang", "rn", "text"])
+    got = rows.join(F.broadcast(keys), ["lang", "doc_id", "h"]).select("fold", "lang", "rn", "text").distinct()
+    return got.toPandas().sort_values(["fold", "lang", "rn", "text"])
+
+
+def fitting(texts: list, sizes: list[int], size: int) -> list[int]:
+    """Places of different texts, each if it still fits into ``size`` bytes; the first in any case if none fits."""
+    out, seen, used = [], set(), 0
+    for i, (t, n) in enumerate(zip(texts, sizes)):
+        if t not in seen and used + n <= size:
+            seen.add(t)
+            out.append(i)
+            used += n
+    return out or [0][: len(texts)]
 
 
-def _content(texts: Iterable[str], size: int) -> bytes:
-    """Whole texts, one after the other, each if it still fits into ``size`` bytes; the first in any case if none fits."""
-    out, seen, first = bytearray(), set(), b""
-    for text in texts:
-        raw = text.lower().encode() + b"\n"
-        first = first or raw
-        if text not in seen and len(out) + len(raw) <= size:
-            seen.add(text)
-            out += raw
-    return bytes(out) or first
+def _content(texts: Iterable[str]) -> bytes:
+    """Whole texts in lower case, one after the other."""
+    return b"".join(t.lower().encode() + b"\n" for t in texts)
 
 
 def dictionaries(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
     """Raw content by language from whole texts of at most ``sample`` labelled documents each, drawn by a hash of the id."""
-    return {str(lang): _content(part["text"], size) for lang, part in _drawn(docs, sample, 1).groupby("lang")}
+    return {str(lang): _content(part["text"]) for lang, part in _drawn(docs, sample, size, 1).groupby("lang")}
 
 
 def fold_dictionaries(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> list[dict[str, bytes]]:
     """Dictionaries for the texts of each of two folds by a hash of the text, made of texts of the other fold only."""
     out: list[dict[str, bytes]] = [{}, {}]
-    for (fold, lang), part in _drawn(docs, sample, 2).groupby(["fold", "lang"]):
-        out[1 - int(fold)][str(lang)] = _content(part["text"], size)
+    for (fold, lang), part in _drawn(docs, sample, size, 2).groupby(["fold", "lang"]):
+        out[1 - int(fold)][str(lang)] = _content(part["text"])
     return out
 
 

@@ -94,6 +94,10 @@ def test_texts_are_scored_by_dictionaries_without_them(spark):
         assert any(t.encode() + b"\n" in c for c in folds[1 - spark_hash(t) % 2].values())
 
 
-def test_dictionaries_hold_whole_texts():
-    assert language_id._content(["Abc", "d" * 20, "ef", "Abc"], 8) == b"abc\nef\n"
-    assert language_id._content(["\u00e9" * 20], 8) == "\u00e9".encode() * 20 + b"\n"
+def test_dictionaries_hold_whole_texts(spark):
+    assert language_id.fitting(["a", "b", "c", "a"], [4, 21, 3, 4], 8) == [0, 2]
+    assert language_id.fitting(["a"], [41], 8) == [0] and language_id.fitting([], [], 8) == []
+    long = "\u00c9t\u00e9 " * 30
+    rows = [(1, "Abc", "x"), (2, long, "x"), (3, "ef", "x"), (4, "Abc", "x"), (5, long, "y")]
+    got = language_id.dictionaries(spark.createDataFrame([(i, t, x, "n") for i, t, x in rows], SCHEMA), size=8)
+    assert sorted(got["x"].split(b"\n")) == [b"", b"abc", b"ef"] and got["y"] == long.lower().encode() + b"\n"
