@@ -111,6 +111,11 @@ def permuted(idx: np.ndarray, n: int, seed: int, draw: int) -> np.ndarray:
     return out
 
 
+def spread(df: DataFrame, key: str = "cell_id") -> DataFrame:
+    """``df`` in as many partitions as shuffles have: few bytes that are much work are else put into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def coordinates(df: DataFrame) -> DataFrame:
     """``df`` with x and y (and z) from the first pair of columns that it has."""
     for x, y, z in (("x", "y", "z"), ("x_um", "y_um", "z_um"), ("coordinate_x_um", "coordinate_y_um", ""), ("x_centroid", "y_centroid", "z_centroid"), ("array_col", "array_row", "")):

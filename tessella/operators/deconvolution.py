@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.solvers import cluster_correlation, dispersion, nmf, principal_components, silhouette, solve_fractions
 from ..functions.stats import bh_adjust, correlation_pvalue, normal_pvalue, pearson, significant, t_pvalue, wilcoxon
-from ..model import cut, hash_order, ratio, small
+from ..model import cut, hash_order, ratio, small, spread
 from .expression import clip_min_max, cpm, cpm_log2_center, gene_means
 
 UNKNOWN = "Unidentifiable"
@@ -272,7 +272,7 @@ def deconvolve(expr: DataFrame, cells: DataFrame, reference: DataFrame, lineage:
     packed = expr.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"gene_id": genes}))), "gene_id", "left_semi").groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("gene_id", "value"))).alias("g"))
     spots = cells.select("cell_id").join(packed, "cell_id", "left").select("cell_id", F.col("g.gene_id").alias("genes"), F.col("g.value").alias("values"))
     spots = spots.withColumn("fraction", F.lit(0.0)) if malignant is None else spots.join(malignant.select("cell_id", "fraction"), "cell_id", "left")
-    return spots.mapInPandas(run, "cell_id long, cell_type string, fraction double")
+    return spread(spots).mapInPandas(run, "cell_id long, cell_type string, fraction double")
 
 
 def malignant_states(expr: DataFrame, cells: DataFrame, fractions: DataFrame, cutoff: float = 0.5) -> DataFrame:

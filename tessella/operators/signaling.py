@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import bh_adjust, correlation_pvalue, spearman
-from ..model import cut, ratio
+from ..model import cut, ratio, spread
 from .spatial import pairs_within
 
 
@@ -51,7 +51,7 @@ def ridge_activity(expr: DataFrame, signature: DataFrame, lam: float = 5e5, n_pe
             )
 
     by_cell = expr.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("gene_id", "value"))).alias("g")).select("cell_id", F.col("g.gene_id").alias("genes"), F.col("g.value").alias("values"))
-    return by_cell.mapInPandas(run, "cell_id long, protein string, beta double, se double, zscore double, pvalue double")
+    return spread(by_cell).mapInPandas(run, "cell_id long, protein string, beta double, se double, zscore double, pvalue double")
 
 
 def protein_filter(activity: DataFrame, neighbour_sum: DataFrame, least: float = 0.05, p_adj: float = 0.01) -> DataFrame:
