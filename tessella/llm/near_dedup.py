@@ -4,7 +4,9 @@ A text's fingerprint is the 128-bit SimHash of its distinct words. Two documents
 fingerprints differ in at most ``radius`` bits and the smaller count of distinct words is at least ``ratio`` times
 the larger. A tree whose nodes split by a measure that near copies almost share (Hamming distance to a vantage
 point, or log word count) shards the fingerprints: one on the near side of a split also visits the far side if the
-triangle bound lets it have a partner there. Each pair meets in exactly one shard, where it is tested exactly.
+triangle bound lets it have a partner there. Each pair meets in exactly one shard. There fingerprints are cut into
+blocks of bits with a radius each; a pair within the whole radius is within that of a block at least, so only pairs
+whose blocks' values are that near are tested, exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from .common import col, columns, draw, fresh, sized, stage
@@ -25,7 +27,13 @@ RADIUS = 24
 RATIO = 0.8
 #: Fingerprints drawn to place the splits; they decide on the shards' sizes, not on results.
 SAMPLE = 20_000
-SHARD = 100_000
+SHARD = 200_000
+#: Fingerprints of a shard, at least, while there are enough shards for the cores.
+LEAST_SHARD = 5_000
+#: Pairs of a shard from which blocks cost less than testing them all.
+DENSE = 3_000_000_000
+#: Pairs found that are held before they are counted and joined to groups.
+HELD = 1_000_000
 #: Members of a group of equal fingerprints that are listed in one row, about.
 LIST = 256
 _WORD = re.compile(r"\w+")
@@ -143,33 +151,78 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*rows)) if rows else (np.empty(0, int), np.empty(0, int), np.empty(0, bool))
 
 
+def _blocks(radius: int, pairs: float) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of blocks, for pairs within ``radius``: in one of them at least they are within its radius.
+
+    The blocks' radii plus one sum up to ``radius`` plus one. The more pairs there are, the longer are the blocks, as
+    more values leave fewer pairs to test. Few pairs, or a radius at which blocks tell little, take one block without bits.
+    """
+    if pairs >= DENSE:
+        m = 12 if pairs < 20 * DENSE else 10 if pairs < 200 * DENSE else 8
+        ends = [128 * i // m for i in range(m + 1)]
+        blocks = sorted(((lo, hi - lo) for lo, hi in zip(ends, ends[1:])), key=lambda x: -x[1])
+        near = [(radius + 1) // m - 1 + (i < (radius + 1) % m) for i in range(m)]
+        if max(near) <= 3:
+            return [(lo, bits, r) for (lo, bits), r in zip(blocks, near) if r >= 0]
+    return [(0, 0, 0)]
+
+
+def _value(f0: np.ndarray, f1: np.ndarray, lo: int, bits: int) -> np.ndarray:
+    """The block's bits as a number; blocks don't cross the halves."""
+    f, lo = (f0, lo) if lo < 64 else (f1, lo - 64)
+    return (f >> np.uint64(lo)) & np.uint64((1 << bits) - 1)
+
+
+def _flips(bits: int, radius: int) -> np.ndarray:
+    x = np.arange(1 << bits, dtype=np.uint64)
+    return x[np.bitwise_count(x) <= radius].astype(np.int64)
+
+
+def _near(n: np.ndarray, f0: np.ndarray, f1: np.ndarray, home: np.ndarray, radius: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, distance) of near pairs, of home rows among themselves and with guests, each once."""
+    many = int(home.sum())
+    blocks = _blocks(radius, many * (len(n) - many / 2))
+    f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
+    bits_of, ones, more = np.empty((64, 4096), np.uint64), np.empty((64, 4096), np.uint8), np.empty((64, 4096), np.uint8)
+
+    def within(a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
+        x, y, z = bits_of[: len(a0), : len(b0)], ones[: len(a0), : len(b0)], more[: len(a0), : len(b0)]
+        np.bitwise_count(np.bitwise_xor(a0[:, None], b0, out=x), out=y)
+        np.bitwise_count(np.bitwise_xor(a1[:, None], b1, out=x), out=z)
+        return np.divmod(np.flatnonzero(np.add(y, z, out=y) <= radius), len(b0))
+
+    for k, (lo, bits, r) in enumerate(blocks):
+        value, flips = _value(f0, f1, lo, bits).astype(np.int64), _flips(bits, r)
+        rows = np.lexsort((n, ~home, value))  # of a value first home rows, then guests
+        first = np.searchsorted(value[rows], np.arange((1 << bits) + 1))
+        guests = first[:-1] + np.bincount(value[home], minlength=1 << bits)
+        g0, g1 = f0[rows], f1[rows]
+        for v in np.flatnonzero(guests > first[:-1]):
+            w = flips ^ v
+            lo_at = np.where(w >= v, first[w], guests[w])  # home rows of lesser values have met these already
+            sizes = first[w + 1] - lo_at
+            c = np.repeat(lo_at - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            c0, c1 = g0[c], g1[c]
+            for s in range(first[v], guests[v], 64):
+                own = slice(s, min(s + 64, guests[v]))
+                for t in range(0, len(c), 4096):
+                    i, j = within(g0[own], g1[own], c0[t : t + 4096], c1[t : t + 4096])
+                    if not len(i):
+                        continue
+                    i, j = rows[s + i], rows[c[t + j]]
+                    ok = (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]) - 1e-9) & (~home[j] | (value[j] != v) | (i < j))
+                    i, j = i[ok], j[ok]
+                    for at, width, near in blocks[:k]:  # an earlier block has found those
+                        new = np.bitwise_count(_value(f0[i], f1[i], at, width) ^ _value(f0[j], f1[j], at, width)) > near
+                        i, j = i[new], j[new]
+                    if len(i):
+                        yield i, j, hamming(f0[i], f1[i], f0[j], f1[j])
+
+
 def _search(radius: int, ratio: float):
     def search(t: pa.Table) -> pa.Table:
-        ids, h, n, f0, f1 = (t[c].to_numpy() for c in ("doc_id", "h", "n", "f0", "f1"))
-        home = t["home"].to_numpy()
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        own, guests = (np.flatnonzero(x)[np.argsort(n[x], kind="stable")] for x in (home, ~home))
-        far = hamming(f0, f1, f0[own[0]], f1[own[0]]) if len(own) else None
-        for lo in range(0, len(own), 128):
-            block = own[lo : lo + 128]
-            v_lo, v_hi = far[block].min() - radius, far[block].max() + radius
-            least, most = n[block[0]] * ratio - 1e-9, n[block[-1]] / ratio + 1e-9
-            for others, mine in ((own, True), (guests, False)):
-                first = lo if mine else np.searchsorted(n[others], least)
-                last = np.searchsorted(n[others], most, "right")
-                for s in range(first, last, 2048):
-                    c = others[s : min(s + 2048, last)]
-                    c = c[(far[c] >= v_lo) & (far[c] <= v_hi)]  # the triangle bound by the shard's vantage point
-                    i, j = np.nonzero(_ones(f0[block][:, None] ^ f0[c][None, :]) <= radius)
-                    i, j = block[i], c[j]
-                    if mine and s < lo + 128:  # pairs within the block come once
-                        once = (n[i] < n[j]) | ((n[i] == n[j]) & (i < j))
-                        once |= ~np.isin(j, block)
-                        i, j = i[once], j[once]
-                    d = hamming(f0[i], f1[i], f0[j], f1[j])
-                    ok = (d <= radius) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]) - 1e-9)
-                    if ok.any():
-                        found.append((i[ok], j[ok], d[ok]))
+        ids, h, n, f0, f1, home = (t[c].to_numpy() for c in ("doc_id", "h", "n", "f0", "f1", "home"))
+        found = list(_near(n, f0, f1, home, radius, ratio))
         i, j, d = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
         turn = (ids[i] > ids[j]) | ((ids[i] == ids[j]) & (h[i] > h[j]))
         a, b = np.where(turn, j, i), np.where(turn, i, j)
@@ -178,8 +231,56 @@ def _search(radius: int, ratio: float):
     return search
 
 
-def _met(prints: DataFrame, radius: int, ratio: float) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints (n, f0, f1, doc_id and h: the least document, texts: how many), and the near pairs of those least documents.
+class _Groups:
+    """Links and connected groups of rows, from pairs that come in turn and are not kept."""
+
+    def __init__(self, texts: np.ndarray) -> None:
+        self.texts, self.links, self.lead = texts, np.zeros(len(texts), np.int64), np.arange(len(texts))
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        for x, y in ((i, j), (j, i)):
+            self.links += np.bincount(x, self.texts[y], len(self.texts)).astype(np.int64)
+        lead = self.lead
+        while True:
+            a, b = lead[i], lead[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(lead, np.maximum(a, b), np.minimum(a, b))
+            while (lead != lead[lead]).any():
+                lead = lead[lead]
+        self.lead = lead
+
+
+def _gather(radius: int, ratio: float):
+    """A shard's rows that have near ones in it: how many documents those are, and one row that all of a group have in common."""
+
+    def gather(t: pa.Table) -> pa.Table:
+        ids, h, n, f0, f1, texts, home = (t[c].to_numpy() for c in ("doc_id", "h", "n", "f0", "f1", "texts", "home"))
+        groups, held, many = _Groups(texts), [], 0
+        for i, j, _ in _near(n, f0, f1, home, radius, ratio):
+            held.append((i, j))
+            many += len(i)
+            if many >= HELD:
+                groups.add(*(np.concatenate(x) for x in zip(*held)))
+                held, many = [], 0
+        if held:
+            groups.add(*(np.concatenate(x) for x in zip(*held)))
+        at = np.flatnonzero(groups.links)
+        to = groups.lead[at]
+        return pa.table({"doc_id": ids[at], "h": h[at], "to_id": ids[to], "to_h": h[to], "links": groups.links[at]})
+
+    return gather
+
+
+def shards_for(total: int, partitions: int, cores: int) -> int:
+    """Shards follow the cores and their size, not the shuffle's partitions: a row visits a share of all shards."""
+    return max(1, -(-total // SHARD), min(partitions, 4 * cores, total // LEAST_SHARD))
+
+
+def _routed(prints: DataFrame, radius: int, ratio: float) -> tuple[DataFrame, GroupedData]:
+    """Fingerprints (n, f0, f1, doc_id and h: the least document, texts: how many), and their rows by shard.
 
     A document is an id with a text, as an id may come with several texts.
     """
@@ -189,16 +290,36 @@ def _met(prints: DataFrame, radius: int, ratio: float) -> tuple[DataFrame, DataF
     unique = stage(unique, "unique")
     total = unique.count()
     drawn = draw(unique.select("n", "f0", "f1"), total, SAMPLE, "f0", "f1", "n").toPandas()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
+    shards = shards_for(total, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     tree = Tree(drawn["n"].to_numpy(), drawn["f0"].to_numpy(), drawn["f1"].to_numpy(), shards, radius, ratio)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, shard, home = tree.route(*(b.column(i).to_numpy() for i in (2, 3, 4)))
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in b.columns), pa.array(shard.astype(np.int32)), pa.array(home.astype(bool))], names=["doc_id", "h", "n", "f0", "f1", "shard", "home"])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in b.columns), pa.array(shard.astype(np.int32)), pa.array(home.astype(bool))], names=["doc_id", "h", "n", "f0", "f1", "texts", "shard", "home"])
+
+    schema = "doc_id long, h long, n int, f0 long, f1 long, texts long, shard int, home boolean"
+    routed = unique.select("doc_id", "h", "n", "f0", "f1", "texts").mapInArrow(route, schema)
+    # a number of partitions of its own keeps small shards from being put into few tasks
+    return unique, routed.repartition(4 * tree.shards, "shard").groupBy("shard")
+
+
+def _met(prints: DataFrame, radius: int, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints as ``_routed`` has them, and the near pairs of their least documents."""
+    unique, shards = _routed(prints, radius, ratio)
+    return unique, shards.applyInArrow(_search(radius, ratio), "doc_a long, h_a long, doc_b long, h_b long, distance int")
+
 
-    routed = unique.select("doc_id", "h", "n", "f0", "f1").mapInArrow(route, "doc_id long, h long, n int, f0 long, f1 long, shard int, home boolean")
-    return unique, routed.groupBy("shard").applyInArrow(_search(radius, ratio), "doc_a long, h_a long, doc_b long, h_b long, distance int")
+def classes_of(prints: DataFrame, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
+    """(doc_id, h, class_id, class_h, links) of each document of staged fingerprints; see ``classes``."""
+    unique, shards = _routed(prints, radius, ratio)
+    met = stage(shards.applyInArrow(_gather(radius, ratio), "doc_id long, h long, to_id long, to_h long, links long"), "met")
+    ends = met.where("doc_id <> to_id or h <> to_h").select(F.struct("doc_id", "h").alias("a"), F.struct(F.col("to_id").alias("doc_id"), F.col("to_h").alias("h")).alias("b"))
+    lead = groups_of(ends, "a", "b").select("doc.doc_id", "doc.h", F.col("leader.doc_id").alias("class_id"), F.col("leader.h").alias("class_h"))
+    links = met.groupBy("doc_id", "h").agg(F.sum("links").alias("links")).join(lead, ["doc_id", "h"])
+    reps = unique.join(links, ["doc_id", "h"], "left")
+    reps = reps.select("n", "f0", "f1", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_h", "h").alias("class_h"), (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).alias("links"))
+    return prints.distinct().join(reps, ["n", "f0", "f1"]).select("doc_id", "h", "class_id", "class_h", "links")
 
 
 def pairs_of(prints: DataFrame, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
@@ -277,13 +398,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     word, all stay. Columns stay as they are, whatever their names; an empty table stays empty.
     """
     prints = fingerprints(docs, id_col, text)
-    ends = pairs_of(prints, radius, ratio).select(*[F.struct(F.col(f"doc_{c}").alias("doc_id"), F.col(f"h_{c}").alias("h")).alias(c) for c in "ab"])
     id_c, h_c, rn = fresh(docs, "id", "h", "rn")
-    key = [F.col("doc.doc_id").alias(id_c), F.col("doc.h").alias(h_c)]
-    gone = stage(groups_of(ends, "a", "b").where("doc <> leader").select(*key), "gone")
+    key = [F.col("doc_id").alias(id_c), F.col("h").alias(h_c)]
+    gone = stage(classes_of(prints, radius, ratio).where("doc_id <> class_id or h <> class_h").select(*key), "gone")
     own = (col(id_col) == F.col(id_c)) & (F.xxhash64(col(text)) == F.col(h_c))
     kept = docs.join(sized(gone), own, "left_anti")
-    again = stage(prints.groupBy("doc_id", "h").count().where("count > 1").select(F.struct("doc_id", "h").alias("doc")).select(*key), "repeated")
+    again = stage(prints.groupBy("doc_id", "h").count().where("count > 1").select(*key), "repeated")
     if again.isEmpty():
         return kept
     again = sized(again)

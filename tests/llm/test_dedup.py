@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,67 @@ def test_tree_finds_all_pairs(spark, radius, shards):
     assert got == sorted(want)
 
 
+def random_prints(count, seed=5):
+    """Fingerprints of which many are few bits apart, across all word counts."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(-(2**63), 2**63, (count // 3, 2), dtype=np.int64)
+    f = base[rng.integers(0, len(base), count)]
+    for _ in range(16):
+        at = np.flatnonzero(rng.random(count) < 0.5)
+        f[at, rng.integers(0, 2, len(at))] ^= np.int64(1) << rng.integers(0, 62, len(at))
+    return rng.integers(60, 100, count).astype(np.int32), f[:, 0].copy(), f[:, 1].copy()
+
+
+@pytest.mark.parametrize("radius,dense,blocks", [(24, 1e5, 12), (24, 1e4, 10), (20, 1e3, 8), (8, 1e5, 9), (24, 1e9, 1), (60, 1e5, 1)])
+def test_blocks_of_bits_lose_no_pair(monkeypatch, radius, dense, blocks):
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
+    n, f0, f1 = random_prints(900)
+    home = np.random.default_rng(6).random(900) < 0.7
+    assert len(near_dedup._blocks(radius, home.sum() * (900 - home.sum() / 2))) == blocks
+    got = [(*sorted((int(x), int(y))), int(z)) for i, j, d in near_dedup._near(n, f0, f1, home, radius, RATIO) for x, y, z in zip(i, j, d)]
+    far = near_dedup.hamming(f0[:, None], f1[:, None], f0[None], f1[None])
+    ok = (far <= radius) & (np.minimum(n[:, None], n) >= RATIO * np.maximum(n[:, None], n) - 1e-9) & (home[:, None] | home)
+    assert sorted(got) == [(i, j, int(far[i, j])) for i, j in np.argwhere(ok).tolist() if i < j] and got
+
+
+def test_shards_do_not_follow_the_shuffle():
+    """As rows visit a share of all shards, a shard for each of 600 partitions sent every row of 6 GB to some 40 of them."""
+    assert near_dedup.shards_for(2_800_000, 600, 6) == 24
+    assert near_dedup.shards_for(28_000_000, 6000, 6) == 140
+    assert near_dedup.shards_for(9_000, 600, 6) == near_dedup.shards_for(0, 600, 6) == 1
+
+
+def test_a_shard_gives_no_more_rows_than_it_has(monkeypatch):
+    """Of a group of near copies come its rows, not its pairs, however many pairs are held at once."""
+    monkeypatch.setattr(near_dedup, "HELD", 500)
+    n, f0, f1 = (x.repeat(40) for x in random_prints(30))
+    texts = np.arange(len(n)) % 3 + 1
+    home = np.arange(len(n)) % 4 > 0
+    ids = np.arange(len(n))
+    got = near_dedup._gather(RADIUS, RATIO)(pa.table({"doc_id": ids, "h": ids, "n": n, "f0": f0, "f1": f1, "texts": texts, "home": home})).to_pydict()
+    far = near_dedup.hamming(f0[:, None], f1[:, None], f0[None], f1[None])
+    near = (far <= RADIUS) & (np.minimum(n[:, None], n) >= RATIO * np.maximum(n[:, None], n) - 1e-9) & (home[:, None] | home) & (ids[:, None] != ids)
+    assert got["links"] == near.dot(texts).tolist() and near.sum() / 2 > 20 * len(ids) > 20 * len(got["to_id"]) - 1
+    lead = ids.copy()
+    while (lead != (new := np.minimum(lead, np.where(near, lead, len(ids)).min(1)))).any():
+        lead = new
+    assert got["to_id"] == lead.tolist()
+
+
+@pytest.mark.parametrize("size", [40, 150])
+def test_classes_over_several_shards(spark, monkeypatch, size):
+    monkeypatch.setattr(near_dedup, "LEAST_SHARD", size)
+    n, f0, f1 = random_prints(600, size)
+    prints = spark.createDataFrame([(i // 2, i, int(a), int(b), int(c)) for i, (a, b, c) in enumerate(zip(n, f0, f1))], "doc_id long, h long, n int, f0 long, f1 long")
+    got = {(r.doc_id, r.h): (r.class_id, r.class_h, r.links) for r in near_dedup.classes_of(prints).collect()}
+    far = near_dedup.hamming(f0[:, None], f1[:, None], f0[None], f1[None])
+    near = (far <= RADIUS) & (np.minimum(n[:, None], n) >= RATIO * np.maximum(n[:, None], n) - 1e-9)
+    lead = np.arange(600)
+    while (lead != (new := np.where(near, lead, 600).min(1))).any():
+        lead = new
+    assert got == {(i // 2, i): (lead[i] // 2, lead[i], near[i].sum() - 1) for i in range(600)}
+
+
 def test_near_edge_cases(spark):
     words = " ".join(f"word{i}" for i in range(200))
     rows = [(1, words), (2, words + " more"), (2, words + " more"), (3, None), (4, ""), (5, "!!"), (None, words), (6, " ".join(f"other{i}" for i in range(200))), (7, "x " * 60_000)]
