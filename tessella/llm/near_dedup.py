@@ -76,17 +76,20 @@ def simhash(text: str, digests: _Digests) -> tuple[int, int, int]:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digests = _Digests()
     for b in batches:
-        got = [simhash(t, digests) for t in b.column(2).to_pylist()]
+        got = [simhash(t or "", digests) for t in b.column(2).to_pylist()]
         cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "h", "n", "f0", "f1"])
 
 
+def _documents(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(doc_id, h: hash of the text, n: distinct words, f0, f1), staged; h is null and n is 0 for a null text. Without null ids."""
+    rows = docs.where(col(id_col).isNotNull()).select(col(id_col).cast("long").alias("doc_id"), F.when(col(text).isNotNull(), F.xxhash64(col(text))).alias("h"), col(text).alias("text"))
+    return stage(rows.mapInArrow(_prints, "doc_id long, h long, n int, f0 long, f1 long"), "fingerprints")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, h: hash of the text, n: distinct words, f0, f1), staged; without null ids and texts that have no word."""
-    rows = docs.where(col(id_col).isNotNull() & col(text).isNotNull())
-    rows = rows.select(col(id_col).cast("long").alias("doc_id"), F.xxhash64(col(text)).alias("h"), col(text).alias("text"))
-    out = rows.mapInArrow(_prints, "doc_id long, h long, n int, f0 long, f1 long")
-    return stage(out.where("n > 0"), "fingerprints")
+    return _documents(docs, id_col, text).where("n > 0")
 
 
 def hamming(a0: np.ndarray, a1: np.ndarray, b0, b1) -> np.ndarray:
@@ -371,6 +374,20 @@ def all_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radiu
     return all_pairs_of(fingerprints(docs, id_col, text), radius, ratio)
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
+    """(doc_id, class_id, links, text_hash, class_text_hash): a row for each document, an id with a text.
+
+    A class is what pairs of near copies connect; it has the id and the text's hash of its least document. ``links``
+    counts the other documents that are near copies of this one, exact for the fingerprints, so half of its sum is the
+    number of all pairs. A text without a word, or a null one, is a class by itself; its hash is null if it is null. A
+    repeated row is one document, and rows with a null id are none. An empty table gives no rows.
+    """
+    every = _documents(docs, id_col, text)
+    alone = every.where("n = 0").select("doc_id", "h").distinct().selectExpr("doc_id", "h", "doc_id AS class_id", "h AS class_h", "0L AS links")
+    found = classes_of(every.where("n > 0"), radius, ratio).unionByName(alone)
+    return found.selectExpr("doc_id", "class_id", "links", "h AS text_hash", "class_h AS class_text_hash")
+
+
 def groups_of(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
     """(doc, leader): every end of ``pairs`` with the least one that is connected to it. Ends may be structs.
 

@@ -202,9 +202,51 @@ def test_all_pairs_of_copies_and_their_near_copies(spark, monkeypatch, most):
     assert near_dedup.all_pairs(make(spark, [])).count() == 0
 
 
-def test_query_gives_all_pairs(spark, sf):
-    got = sorted(map(tuple, queries.op1_simhash_near_dedup(spark, sf).collect()))
-    assert got == brute_all([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+def plain_classes(docs):
+    """(id, text): (the least document of its class, links), from all pairs; a document is known by its place."""
+    have = sorted({(i, t) for i, t in docs if i is not None}, key=lambda d: (d[0], d[1] is not None, d[1] or ""))
+    lead, links = list(range(len(have))), [0] * len(have)
+    pairs = [(a, b) for a, b, _ in brute_all([(k, t) for k, (_, t) in enumerate(have)])]
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    moved = True
+    while moved:
+        moved = False
+        for a, b in pairs:
+            if lead[a] != lead[b]:
+                lead[a] = lead[b] = min(lead[a], lead[b])
+                moved = True
+    return {d: (have[lead[k]][0], links[k]) for k, d in enumerate(have)}
+
+
+def test_query_gives_a_row_for_each_document(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = plain_classes([(r.doc_id, r.text) for r in docs.collect()])
+    got = queries.op1_simhash_near_dedup(spark, sf).collect()
+    assert sorted((r.doc_id, r.class_id, r.links) for r in got) == sorted((i, *x) for (i, _), x in want.items())
+    assert sum(r.links for r in got) == 2 * near_dedup.all_pairs(docs).count() > 0
+
+
+def test_classes_of_odd_rows(spark):
+    words = " ".join(f"word{i}" for i in range(200))
+    rows = [(i, words) for i in range(10, 40, 2)] + [(i, words + " more") for i in range(11, 20, 2)]
+    rows += [(12, words), (None, words), (50, None), (51, "!!"), (52, "!!"), (53, ""), (53, ""), (10, other(1)), (60, other(1) + " more"), (61, other(1)), (62, other(2))]
+    docs = make(spark, rows)
+    got = near_dedup.classes(docs).collect()
+    want = plain_classes(rows)
+    assert sorted((r.doc_id, r.class_id, r.links) for r in got) == sorted((i, *x) for (i, _), x in want.items())
+    # the two texts of 10 lead a class each
+    assert {(r.class_id, r.class_text_hash) for r in got if r.doc_id in (38, 61)} == {(r.doc_id, r.text_hash) for r in got if r.doc_id == 10}
+    assert [r.text_hash for r in got if r.doc_id == 50] == [None] and len({r.text_hash for r in got if r.doc_id in (51, 52)}) == 1
+    assert near_dedup.classes(make(spark, [])).count() == 0
+
+
+def test_rows_of_a_large_group_follow_its_size(spark, tmp_path):
+    """A group of 300 gave 44,850 rows when pairs were listed."""
+    make(spark, [(i, other(0) + (" more" if i % 3 else "")) for i in range(300)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_simhash_near_dedup(spark, str(tmp_path)).collect()
+    assert len(got) == 300 and {(r.class_id, r.links) for r in got} == {(0, 299)}
 
 
 def test_radius_catches_most_copies_with_a_tenth_replaced():
