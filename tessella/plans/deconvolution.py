@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import cut
 from ..operators import deconvolution as d
-from ..operators.expression import cpm_log2_center, expressed, log2_tpm, quality_control
+from ..operators.expression import expressed, log2_tpm, quality_control
 
 #: Spots from which the malignant part comes from two rounds of correlation in place of clusters.
 LARGE = 20_000
@@ -30,7 +30,7 @@ def malignant_by_clusters(expr: DataFrame, cells: DataFrame, signatures: list[Da
     if chosen is None:
         chosen = depth.orderBy(F.desc("genes"), "cell_id").limit(_twentieth(depth.count())).select("cell_id")
     chosen = cut(chosen)
-    return d.malignant_fraction(d.correlation_with(cut(cpm_log2_center(expr, cells, dense=True)), chosen)), chosen
+    return d.malignant_fraction(d.correlation_with(expr, cells, chosen)), chosen
 
 
 def malignant_by_rounds(expr: DataFrame, cells: DataFrame, signature: DataFrame, at: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -38,9 +38,9 @@ def malignant_by_rounds(expr: DataFrame, cells: DataFrame, signature: DataFrame,
     and stretched, gives the spots at 1; the correlation with their mean centred profile, clipped and stretched alike, gives
     the fractions, and its spots at 1 are the chosen ones.
     """
+    expr = cut(expr)
     first = d.malignant_fraction(d.signature_correlation(expr, signature, cells), at)
-    dense = cut(cpm_log2_center(expr, cells, dense=True))
-    second = cut(d.malignant_fraction(d.correlation_with(dense, cut(first.where("fraction >= 1").select("cell_id"))), at))
+    second = cut(d.malignant_fraction(d.correlation_with(expr, cells, cut(first.where("fraction >= 1").select("cell_id"))), at))
     return second, second.where("fraction >= 1").select("cell_id")
 
 
@@ -48,10 +48,11 @@ def malignant_bulk(expr: DataFrame, samples: DataFrame, signature: DataFrame) ->
     """The same for bulk samples: of as many samples as have r > 0 and an adjusted p below 0.25, or a twentieth if those are
     fewer, the ones of the highest correlation with the signature are chosen.
     """
+    expr = cut(expr)
     r = cut(d.signature_correlation(expr, signature, samples))
     n = max(_twentieth(r.count()), r.where("r > 0 and p_adj < 0.25").count())
     chosen = cut(r.orderBy(F.desc_nulls_last("r"), "cell_id").limit(n).select("cell_id"))
-    return d.malignant_fraction(d.correlation_with(cut(cpm_log2_center(expr, samples, dense=True)), chosen)), chosen
+    return d.malignant_fraction(d.correlation_with(expr, samples, chosen)), chosen
 
 
 def _twentieth(n: int) -> int:

@@ -238,3 +238,25 @@ def test_order_statistics(spark, monkeypatch, histogram):
     assert stats.order_statistics(df, "v", ranks, 5000) == np.sort(x)[[r - 1 for r in ranks]].tolist()
     got = sorted(r.v for r in expression.clip_min_max(df, "v").collect())
     assert np.allclose(got, np.sort(stretched(x, 250)))
+
+
+def test_correlation_makes_no_zeros(spark):
+    """20,000 cells with a gene of their own each: 400 million dense values, of which 20,000 are stored."""
+    n = 20_000
+    expr = spark.range(n).select(F.col("id").alias("cell_id"), F.col("id").alias("gene_id"), F.lit(3.0).alias("value"))
+    sig = spark.range(n).select(F.col("id").alias("gene_id"), F.col("id").cast("double").alias("weight"))
+    r = got(d.centred_correlation(expr, cells_of(spark, n), lambda logged, means: sig), "r0")
+    # a cell's values are constant but for one, so that r follows from the place of its weight
+    w = np.arange(n) - (n - 1) / 2
+    assert np.abs(r - w / np.sqrt((w * w).sum() * (1 - 1 / n))).max() < 1e-9
+
+
+def test_correlation_of_empty_and_constant_cells(spark):
+    m = np.array([[4.0, 0, 3, 1], [0, 0, 0, 0], [1, 5, 0, 2], [2, 2, 0, 7]])
+    w = np.array([1.0, -2, 0.5, 3])
+    x = np.log2(m / np.maximum(m.sum(1, keepdims=True), 1) * 1e6 + 1)
+    sig = spark.createDataFrame([(g, float(v)) for g, v in enumerate(w)], "gene_id long, weight double")
+    r = got(d.centred_correlation(long(spark, m), cells_of(spark, 4), lambda *_: sig), "r0")
+    assert np.allclose(r, correlate(x - x.mean(0), w))
+    one = d.centred_correlation(long(spark, m[:1]), cells_of(spark, 1), lambda *_: sig).collect()
+    assert [(c.r0, c.n) for c in one] == [(None, 3)]
