@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import product
 
 import numpy as np
@@ -144,35 +145,109 @@ def knn_graph(cells: DataFrame, n_neighbors: int = 6, set_diag: bool = False) ->
     return _diagonal(edges, cells) if set_diag else edges
 
 
+def _turn(ax: float, ay: float, bx: float, by: float, cx: float, cy: float) -> float:
+    """Above 0 if a, b, c turn left; exact where rounding could decide."""
+    l, r = (bx - ax) * (cy - ay), (by - ay) * (cx - ax)
+    if abs(l - r) > 1e-15 * (abs(l) + abs(r)):
+        return l - r
+    ax, ay, bx, by, cx, cy = map(Fraction, (ax, ay, bx, by, cx, cy))
+    d = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    return (d > 0) - (d < 0)
+
+
+def _in_circle(ax: float, ay: float, bx: float, by: float, cx: float, cy: float, px: float, py: float) -> bool:
+    """Whether p lies strictly inside the circle of a, b, c, which turn left; exact where rounding could decide."""
+
+    def det(ax, ay, bx, by, cx, cy):  # noqa: ANN001, ANN202
+        a, b, c = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+        return a * (bx * cy - cx * by) + b * (cx * ay - ax * cy) + c * (ax * by - bx * ay), a * (abs(bx * cy) + abs(cx * by)) + b * (abs(cx * ay) + abs(ax * cy)) + c * (abs(ax * by) + abs(bx * ay))
+
+    d, size = det(ax - px, ay - py, bx - px, by - py, cx - px, cy - py)
+    if abs(d) > 4e-15 * size:
+        return d > 0
+    ax, ay, bx, by, cx, cy, px, py = map(Fraction, (ax, ay, bx, by, cx, cy, px, py))
+    return det(ax - px, ay - py, bx - px, by - py, cx - px, cy - py)[0] > 0
+
+
 def circumcircle_triangles(xy: np.ndarray) -> np.ndarray:
-    """Delaunay triangles of distinct points by inserting them one at a time and opening the circles that hold them."""
+    """Delaunay triangles of distinct points by inserting them one at a time and opening the circles that hold them.
+
+    Points come along rows of squares, so that the next one is a few triangles away and found by walking there. Triangles
+    turn left; outside of the hull each of its edges has one whose third corner, -1, lies infinitely far away.
+    """
     n = len(xy)
+    side = max(1, int(math.sqrt(n / 4)))
+    low, span = (xy.min(axis=0), np.maximum(np.ptp(xy, axis=0), 1e-300)) if n else (0, 1)
+    cell = np.minimum(((xy - low) / span * side).astype(int), side - 1)
+    order = np.lexsort((np.where(cell[:, 0] % 2 == 0, cell[:, 1], -cell[:, 1]), cell[:, 0])).tolist()
+    xs, ys = xy[:, 0].tolist(), xy[:, 1].tolist()
+    turn = lambda a, b, c: _turn(xs[a], ys[a], xs[b], ys[b], xs[c], ys[c])
     if n < 3:
         return np.empty((0, 3), np.int64)
-    mid, span = xy.mean(axis=0), max(float(np.ptp(xy, axis=0).max()), 1e-9)
-    p = np.vstack([(xy - mid) / span, [[-300.0, -300.0], [300.0, -300.0], [0.0, 300.0]]])
-    tri = np.array([[n, n + 1, n + 2]])
-
-    def circles(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b, c = p[t[:, 0]], p[t[:, 1]], p[t[:, 2]]
-        d = 2 * ((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0]))
-        bb, cc = ((b - a) ** 2).sum(1), ((c - a) ** 2).sum(1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ux = ((c[:, 1] - a[:, 1]) * bb - (b[:, 1] - a[:, 1]) * cc) / d
-            uy = ((b[:, 0] - a[:, 0]) * cc - (c[:, 0] - a[:, 0]) * bb) / d
-        return np.stack([a[:, 0] + ux, a[:, 1] + uy], 1), ux * ux + uy * uy
-
-    centre, size = circles(tri)
-    for i in range(n):
-        bad = ((p[i] - centre) ** 2).sum(1) < size * (1 - 1e-12)
-        edges = np.sort(tri[bad][:, [[0, 1], [1, 2], [2, 0]]].reshape(-1, 2), axis=1)
-        rim, count = np.unique(edges, axis=0, return_counts=True)
-        rim = rim[count == 1]
-        new = np.column_stack([rim, np.full(len(rim), i)])
-        new_c, new_s = circles(new)
-        fine = np.isfinite(new_s)
-        tri, centre, size = (np.concatenate([old[~bad], add[fine]]) for old, add in ((tri, new), (centre, new_c), (size, new_s)))
-    return tri[(tri < n).all(axis=1)]
+    i, j = order[0], order[1]
+    third = next((k for k in order[2:] if turn(i, j, k) != 0), None)
+    if third is None:
+        return np.empty((0, 3), np.int64)
+    if turn(i, j, third) < 0:
+        i, j = j, i
+    # the triangle left of each directed edge, by its third corner; -1 is the far corner
+    apex = {}
+
+    def add(a: int, b: int, c: int) -> None:
+        apex[a, b], apex[b, c], apex[c, a] = c, a, b
+
+    def holds(a: int, b: int, c: int, p: int) -> bool:
+        """Whether the circle of a triangle holds p; that of one outside of the hull is the half plane beyond its edge, and the edge."""
+        if a < 0 or b < 0 or c < 0:
+            while c >= 0:
+                a, b, c = b, c, a
+            t = turn(a, b, p)
+            if t != 0:
+                return t > 0
+            return min(xs[a], xs[b]) <= xs[p] <= max(xs[a], xs[b]) and min(ys[a], ys[b]) <= ys[p] <= max(ys[a], ys[b])
+        return _in_circle(xs[a], ys[a], xs[b], ys[b], xs[c], ys[c], xs[p], ys[p])
+
+    add(i, j, third)
+    for a, b in ((i, j), (j, third), (third, i)):
+        add(b, a, -1)
+    at = (i, j)
+    for p in order:
+        if p in (i, j, third):
+            continue
+        # walk to a triangle whose circle holds p
+        a, b = at
+        c = apex[a, b]
+        if c < 0:
+            a, b, c = b, a, apex[b, a]
+        while c >= 0:
+            for u, v in ((a, b), (b, c), (c, a)):
+                if turn(u, v, p) < 0:
+                    a, b, c = v, u, apex[v, u]
+                    break
+            else:
+                break
+        # open all triangles beside it whose circle holds p; what is left around is the rim
+        stack, rim = [(a, b), (b, c), (c, a)], []
+        gone = [(a, b, c)]
+        inside = {(a, b), (b, c), (c, a)}
+        while stack:
+            u, v = stack.pop()
+            if (v, u) in inside:
+                continue
+            w = apex[v, u]
+            if holds(v, u, w, p):
+                inside |= {(v, u), (u, w), (w, v)}
+                gone.append((v, u, w))
+                stack += [(u, w), (w, v)]
+            else:
+                rim.append((u, v))
+        rim = [(u, v) for u, v in rim if (v, u) not in inside]
+        for a, b, c in gone:
+            del apex[a, b], apex[b, c], apex[c, a]
+        for u, v in rim:
+            add(u, v, p)
+        at = next((u, v) for u, v in rim if u >= 0 and v >= 0) if any(u >= 0 and v >= 0 for u, v in rim) else (rim[0][1], p)
+    return np.array(sorted({(a, b, c) for (a, b), c in apex.items() if 0 <= a < b and a < c}), np.int64).reshape(-1, 3)
 
 
 def delaunay_graph(cells: DataFrame, set_diag: bool = False) -> DataFrame:
